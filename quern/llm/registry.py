@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import quality, toxicity
+from quern.llm import mixing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op4_quality": quality.op4_quality,
         "op9_toxicity": toxicity.op9_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_mixing": mixing.ORACLE_SQL,
+    }
