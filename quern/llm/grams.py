@@ -1,39 +1,53 @@
-"""Hashed word n-grams of whole texts, in numpy."""
+"""Hashed words and word n-grams of whole texts, in numpy without a Python object per word.
 
-from __future__ import annotations
+A word is a run of ASCII letters and digits and of any characters outside
+ASCII, in lower case.
+"""
 
-import re
+from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-_WORD = re.compile(r"[^\W_]+")
-_M = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+WORD = "[a-z0-9\\x{80}-\\x{10FFFF}]+"  # as a pattern of RE2, over lower-cased text
 
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD6E8FEB86659FD93
+_KEEP = np.zeros(256, bool)
+_KEEP[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
-class _Hashes(dict):
-    """Word to 64-bit hash; forgets all when it has grown to a bounded size."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
-        return h
+def mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64: a bijection of 64-bit integers."""
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
 
 
-_hashes = _Hashes()
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
+_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64: a bijection of 64-bit integers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(_M[1])
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(_M[2])
-    return x ^ (x >> np.uint64(31))
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, at least ``n`` of each."""
+    global _powers
+    if len(_powers[0]) < n:
+        size = 1 << max(12, n.bit_length())
+        _powers = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return _powers
 
 
 def words(text: str | None) -> np.ndarray:
-    found = _WORD.findall(text.lower()) if text else []
-    return np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    """The hash of each word, in the order of the text: differences of a rolling hash over its bytes."""
+    raw = np.frombuffer((text or "").lower().encode("utf-8", "replace"), np.uint8)
+    edge = np.flatnonzero(np.diff(_KEEP[raw].astype(np.int8), prepend=0, append=0))
+    if not len(edge):
+        return np.zeros(0, np.uint64)
+    power, inverse = _power(len(raw))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * power[: len(raw)], out=sums[1:])
+    start, end = edge[::2], edge[1::2]
+    return mix((sums[end] - sums[start]) * inverse[start])
 
 
 def gram_set(text: str | None, n: int) -> np.ndarray:
@@ -44,5 +58,6 @@ def gram_set(text: str | None, n: int) -> np.ndarray:
     n = min(n, len(w))
     g = np.full(len(w) - n + 1, n, np.uint64)
     for k in range(n):
-        g = mix(g * np.uint64(_M[0]) + w[k : len(w) - n + 1 + k])
-    return np.unique(g)
+        g = mix(g * _STEP + w[k : len(w) - n + 1 + k])
+    g.sort()
+    return g[np.concatenate([[True], g[1:] != g[:-1]])]

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import mixing, quality, toxicity
+from quern.llm import mixing, ngram_join, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_ngram_join": ngram_join.op2_ngram_join,
         "op4_quality": quality.op4_quality,
         "op9_toxicity": toxicity.op9_toxicity,
     }
@@ -20,4 +21,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.ORACLE_SQL,
+        "op2_ngram_join": ngram_join.ORACLE_SQL,
     }
