@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import mixing, ngram_join, quality, toxicity
+from quern.llm import bpe, html_extract, mixing, ngram_join, orc_tokens, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op2_ngram_join": ngram_join.op2_ngram_join,
+        "op3_html": html_extract.op3_html,
         "op4_quality": quality.op4_quality,
+        "op6_sharding": sharding.op6_sharding,
+        "op7_bpe": bpe.op7_bpe,
         "op9_toxicity": toxicity.op9_toxicity,
+        "op10_orc": orc_tokens.op10_orc,
     }
 
 
@@ -22,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.ORACLE_SQL,
         "op2_ngram_join": ngram_join.ORACLE_SQL,
+        "op6_sharding": sharding.ORACLE_SQL,
     }
