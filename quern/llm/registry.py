@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, html_extract, mixing, ngram_join, orc_tokens, quality, sharding, toxicity
+from quern.llm import bpe, html_extract, mixing, ngram_join, nn_descent, orc_tokens, quality, sharding, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,8 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_html": html_extract.op3_html,
         "op4_quality": quality.op4_quality,
+        "op5_nn_descent": nn_descent.op5_nn_descent,
         "op6_sharding": sharding.op6_sharding,
         "op7_bpe": bpe.op7_bpe,
+        "op8_topk": topk.op8_topk,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_orc": orc_tokens.op10_orc,
     }
@@ -27,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_mixing": mixing.ORACLE_SQL,
         "op2_ngram_join": ngram_join.ORACLE_SQL,
         "op6_sharding": sharding.ORACLE_SQL,
+        "op8_topk": topk.ORACLE_SQL,
     }
