@@ -94,7 +94,7 @@ def tokens_cte(definition: Definition, docs: str = "doc") -> str:
     where = f" WHERE term NOT IN ({stop})" if stop else ""
     return f"""tok0 AS ({" UNION ALL ".join(parts)}),
 tok AS (SELECT * FROM tok0{where}),
-post AS (SELECT term, id, sum(w) AS tf, count(*) AS np, list(pos ORDER BY pos) AS at FROM tok WHERE term <> '' GROUP BY term, id),
+post AS (SELECT term, id, sum(w) AS tf, count(*) AS np, list(pos ORDER BY pos) AS ats FROM tok WHERE term <> '' GROUP BY term, id),
 dl AS (SELECT id, CAST(sum(np) AS BIGINT) AS dl FROM post GROUP BY id),
 st AS (SELECT avg(dl) AS avgdl FROM dl), n AS (SELECT count(*) AS n FROM {docs}), df AS (SELECT term, count(*) AS df FROM post GROUP BY term)"""
 
@@ -107,9 +107,9 @@ def doc_cte(definition: Definition) -> str:
 def _phrase_sql(words: tuple[str, ...], strict: bool) -> str:
     joins = " ".join(f"JOIN post p{i} ON p{i}.id = p0.id AND p{i}.term = {_quoted(w)}" for i, w in enumerate(words) if i)
     if strict:
-        tests = "len(list_filter(p0.at, lambda x: " + " AND ".join(f"list_contains(p{i}.at, x + {i})" for i in range(1, len(words))) + ")) > 0"
+        tests = "len(list_filter(p0.ats, lambda x: " + " AND ".join(f"list_contains(p{i}.ats, x + {i})" for i in range(1, len(words))) + ")) > 0"
     else:
-        tests = " AND ".join(f"len(list_filter(p0.at, lambda x: list_contains(p{i}.at, x + {i}))) > 0" for i in range(1, len(words)))
+        tests = " AND ".join(f"len(list_filter(p0.ats, lambda x: list_contains(p{i}.ats, x + {i}))) > 0" for i in range(1, len(words)))
     return f"SELECT p0.id FROM post p0 {joins} WHERE p0.term = {_quoted(words[0])} AND {tests}"
 
 
@@ -324,15 +324,16 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = unique(spark, "streamed")
     engine = Engine(spark, root, tempfile.mkdtemp(prefix="quern-catalog-"))  # the catalog is the driver's own
     engine.create_index({"name": "documents", "fields": {"text": {"type": "text"}}})
-    path = f"{sf_dir}/documents.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("id", F.col("doc_id").cast("string"))
+    schema = table(spark, sf_dir, "documents").schema
+    # A pattern, so that the table may be a file or a folder of files.
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]").withColumn("id", F.col("doc_id").cast("string"))
     ingest(engine, "documents", stream, f"{root}/checkpoint").awaitTermination()
     return search.ranked(search.hits(engine.snapshot("documents"), [parse("the of")]), Page(1, 20)).select("id", F.round("score", 6).alias("score"))
 
 
 OTHERS: dict[str, tuple[Query, str]] = {
     "tokenize_standard": (tokenized(DOCUMENTS), tokenized_sql(DOCUMENTS)), "tokenize_standard_en": (tokenized(ENGLISH), tokenized_sql(ENGLISH)), "tokenize_keyword": (tokenized(KEYED), tokenized_sql(KEYED)),
-    "inverted_postings": (postings_summary, f"WITH {doc_cte(DOCUMENTS)}, {tokens_cte(DOCUMENTS)} SELECT term, id, tf, np AS n_positions, CAST(at[1] AS BIGINT) AS first_position FROM post"),
+    "inverted_postings": (postings_summary, f"WITH {doc_cte(DOCUMENTS)}, {tokens_cte(DOCUMENTS)} SELECT term, id, tf, np AS n_positions, CAST(ats[1] AS BIGINT) AS first_position FROM post"),
     "weighted_postings": (parts_postings, f"WITH {doc_cte(PARTS)}, {tokens_cte(PARTS)} SELECT term, count(*) AS df, round(sum(tf), 6) AS tf FROM post GROUP BY term"),
     "idf_table": (idf_table, f"WITH {doc_cte(DOCUMENTS)}, {tokens_cte(DOCUMENTS)} SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df CROSS JOIN n"),
     "doc_lengths": (doc_lengths, f"WITH {doc_cte(KEYED)}, {tokens_cte(KEYED)} SELECT doc.id, coalesce(dl, 0) AS dl FROM doc LEFT JOIN dl ON dl.id = doc.id"),
