@@ -26,8 +26,11 @@ from quern.llm.grams import WORD, gram_set
 
 N = 5
 THRESHOLD = 0.4
-#: Sets of one component that are joined in one piece; larger components are joined by pairs of stretches.
-STRETCH = 1024
+#: N-grams of one component that are joined in one piece, and as how many a set counts at least; larger
+#: components are joined by pairs of such stretches, so that a task's memory is bounded.
+STRETCH, LEAST = 1 << 18, 1 << 9
+#: Ranks between two of a probe's remaining counts.
+STRIDE = 64
 #: Sets up to this many are picked from the texts by a broadcast join.
 BROADCAST_SETS = 1_000_000
 
@@ -91,7 +94,7 @@ def links(docs: DataFrame, n: int, t: float) -> DataFrame:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per batch and bucket of n-grams one row: keys, which of the sets, the sets' fingerprints."""
-        for b in batches:
+        for b in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             keys, which, fps, sizes, seen = [], [], [], [], set()
             for text in _texts(b, "text"):
                 g = gram_set(text, n)
@@ -240,7 +243,7 @@ class Trie:
     def walk(self, member: np.ndarray, after: np.ndarray, probe_sizes: np.ndarray, t: float) -> list[tuple[np.ndarray, int, np.ndarray]]:
         """(probes, set, overlaps) of all pairs that reach the threshold.
 
-        member[i, r]: probe i has rank r. after[i, r]: how many ranks from r on it has.
+        member[i, r]: probe i has rank r. after[i, c]: how many ranks from c * STRIDE on it has.
         """
         out = []
         stack = [(0, len(self.rows), 0, np.arange(len(member)), np.zeros(len(member), np.int64))]
@@ -253,7 +256,7 @@ class Trie:
                 overlap = overlap + member[np.ix_(active, own[depth:upto])].sum(1)
             # Remaining-length bound: no set below can gain more than its own or the probe's remaining ranks.
             least, most = self.sizes[low:high].min(), max(len(r) for r in self.rows[low:high])
-            rest = after[active, own[upto - 1] + 1] if upto else after[active, 0]
+            rest = after[active, (own[upto - 1] + 1) // STRIDE] if upto else after[active, 0]
             best = overlap + np.minimum(rest, most - upto)
             size = probe_sizes[active]
             need = np.ceil(t / (1 + t) * (size + np.maximum(least, np.ceil(t * size - 1e-9))) - 1e-9)
@@ -300,11 +303,11 @@ def join_block(left: list[np.ndarray], right: list[np.ndarray] | None, t: float)
     ranks, cut = rank[inverse], np.cumsum([0, *map(len, probes), *(map(len, kept) if right is not None else [])])
     rows = [np.sort(r[r >= 0]) for r in (ranks[a:b] for a, b in zip(cut, cut[1:]))]
     a, b = rows[: len(probes)], rows[len(probes) :] if right is not None else rows
-    member = np.zeros((len(a), len(shared)), np.bool_)
+    strides = len(shared) // STRIDE + 1
+    member = np.zeros((len(a), strides * STRIDE), np.bool_)
     for i, r in enumerate(a):
         member[i, r] = True
-    after = np.zeros((len(a), len(shared) + 1), np.int32)
-    after[:, :-1] = np.cumsum(member[:, ::-1], 1, dtype=np.int32)[:, ::-1]
+    after = np.stack([np.cumsum(m.reshape(strides, STRIDE).sum(1)[::-1])[::-1] for m in member]) if len(a) else np.zeros((0, strides), np.int64)
     size_a, size_b = np.array([len(x) for x in probes]), np.array([len(x) for x in kept])
     found = []
     for who, j, overlap in Trie(b, size_b).walk(member, after, size_a, t):
@@ -330,7 +333,8 @@ def join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame,
     # One row of each set stands for it: that of the least mark, then id.
     first = members.join(nodes, members.fp == nodes.node).groupBy("fp", "comp", "n").agg(F.min(F.struct("mark", "doc_id")).alias("of"))
     # The sets of a component, in the order of their sizes, in stretches.
-    chosen = first.select("fp", "comp", "n", F.col("of.mark").alias("mark"), F.col("of.doc_id").alias("of_id"), F.floor((F.row_number().over(Window.partitionBy("comp").orderBy("n", "fp")) - 1) / STRETCH).cast("int").alias("part"))
+    upto = Window.partitionBy("comp").orderBy("n", "fp").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = first.select("fp", "comp", "n", F.col("of.mark").alias("mark"), F.col("of.doc_id").alias("of_id"), F.floor(F.sum(F.greatest("n", F.lit(LEAST))).over(upto) / STRETCH).cast("int").alias("part"))
     chosen, at_chosen = written(chosen, "chosen")
     parts = chosen.groupBy("comp", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     other = parts.select(F.col("comp").alias("comp2"), F.col("part").alias("part2"), "least")
