@@ -1,10 +1,9 @@
 """N-gram Jaccard join: every pair of documents whose word n-gram sets are similar.
 
-Equal sets are one set from the start. In each set's part of least hashes the
-frequency of every n-gram is counted exactly; a pair that is similar shares so
-many of them that sets with too few n-grams of frequency two or more drop out,
-and that it meets in one of the rarest that are left. Sets linked by such
-meetings form components. A component, or each pair of its stretches where it
+Equal sets are one set from the start. The frequency of every n-gram is counted
+exactly; a pair that is similar shares so many that sets with too few n-grams
+of frequency two or more drop out, and that it meets in one of the rarest of
+each that are left. Sets linked by such meetings form components. A component, or each pair of its stretches where it
 is large, is joined in one task by a prefix tree: sets, ordered by one global
 order, lie in a trie; a walk through it carries the partial overlaps of all
 probing sets at once, and leaves a subtree as soon as what remains can't lift
@@ -35,16 +34,9 @@ STRIDE = 64
 BROADCAST_SETS = 1_000_000
 
 
-def needed(n: int, t: float) -> tuple[int, int]:
-    """(p, l): of a set of n, similar sets share at least l of the p of least hash.
-
-    Of the n, at most n - ceil(t n) aren't shared, so that of p at least
-    p - (n - ceil(t n)) are; the same holds with the sizes exchanged. One less
-    is asked for, for rounding.
-    """
-    missing = n - int(np.ceil(t * n - 1e-9))
-    p = min(n, missing + 1 + n * 3 // 20)
-    return p, max(1, p - missing - 1)
+def needed(n: int, t: float) -> int:
+    """How many n-grams a set of n shares with any similar one at least."""
+    return max(1, int(np.ceil(t * n - 1e-9)))
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -102,17 +94,14 @@ def links(docs: DataFrame, n: int, t: float) -> DataFrame:
                 if not len(g) or fp in seen:
                     continue
                 seen.add(fp)
-                p, _ = needed(len(g), t)
-                keys.append(g[:p])
-                which.append(np.full(p, len(fps), np.uint32))
+                keys.append(g)
+                which.append(np.full(len(g), len(fps), np.uint32))
                 fps.append(fp)
                 sizes.append(len(g))
             if not fps:
                 continue
             key, which = np.concatenate(keys), np.concatenate(which)
             fps, sizes = np.array(fps, np.int64), np.array(sizes, np.int64)
-            # The least hashes are small numbers: a multiplication spreads them over buckets and keys.
-            key = key * np.uint64(0x9E3779B97F4A7C15)
             bucket = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             start, count = _runs(bucket[order])
@@ -176,7 +165,7 @@ def links(docs: DataFrame, n: int, t: float) -> DataFrame:
         order = np.lexsort((bucket, key, freq, fp))
         start, c = _runs(fp[order])
         n_of = sizes[np.searchsorted(known, fp[order][start])]
-        least = np.array([needed(int(k), t)[1] for k in n_of])
+        least = np.array([needed(int(k), t) for k in n_of])
         allowed = np.maximum(0, c - least + 1)
         rank = np.arange(len(fp)) - np.repeat(start, c)
         kept = order[rank < np.repeat(allowed, c)]
@@ -390,12 +379,17 @@ def pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     gives no pairs.
     """
     members, similar, _ = join(docs, n, t)
-    ids = members.where("doc_id IS NOT NULL").select("doc_id", "fp").distinct()
-    a, b = ids.toDF("doc_a", "fa"), ids.toDF("doc_b", "fb")
-    same = a.join(b, F.col("fa") == F.col("fb")).where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
-    x = similar.join(a, F.col("a") == F.col("fa")).join(b, F.col("b") == F.col("fb"))
-    near = x.where("doc_a <> doc_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
-    return same.union(near).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    ids = members.where("doc_id IS NOT NULL")
+    once = ids.groupBy("doc_id").agg(F.count_distinct("fp").alias("k")).where("k > 1").isEmpty()
+    # Lists of ids travel, and are spread out at the end.
+    lists = ids.groupBy("fp").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
+    a, b = lists.toDF("a", "ids_a"), lists.toDF("b", "ids_b")
+    later = lists.where(F.size("ids") > 1).select("ids", F.posexplode("ids").alias("at", "doc_a"))
+    same = later.select("doc_a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    x = similar.join(a, "a").join(b, "b").select(F.explode("ids_a").alias("x"), "ids_b", "jaccard").select("x", F.explode("ids_b").alias("y"), "jaccard")
+    near = x.where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    every = same.union(near)
+    return every if once else every.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def one_of_each(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
