@@ -24,7 +24,7 @@ from quern.llm.common import importable, table
 
 WINDOW = 3
 #: Characters in a window at which text surges, and below which it dives.
-SURGE, DIVE = 86, 24
+SURGE, DIVE = 86, 8
 
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|nav|footer|aside|form|svg|iframe|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
 # A small element, without others of its kind in it, that its class or id names as an advertisement or a list of links.
