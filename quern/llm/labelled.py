@@ -40,7 +40,8 @@ def fitted(rows: DataFrame, fit: Callable[[list[int], list[str], list[int]], obj
         model = fit([ids[i] for i in order], [texts[i] for i in order], [marks[i] for i in order])
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
-    return pickle.loads(rows.select("doc_id", "text", "label").repartition(1).mapInPandas(run, "model binary").first()[0])
+    made = rows.select("doc_id", "text", "label").repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(made[0]) if made else fit([], [], [])
 
 
 def representative(texts: list[str]) -> list[int]:

@@ -97,7 +97,10 @@ def fit(ids: list[int], texts: list[str], labels: list[int]) -> Model:
     keep = representative(texts)
     train, held = [[i for k, i in enumerate(keep) if (k % 3 == 2) == held] for held in (False, True)]
     model = Model(*(_dictionary([texts[i] for i in train if (labels[i] > 0) == good]) for good in (True, False)))
-    model.calibration.fit(model.scores([texts[i] for i in held]), np.array([labels[i] > 0 for i in held], float))
+    if held:
+        model.calibration.fit(model.scores([texts[i] for i in held]), np.array([labels[i] > 0 for i in held], float))
+    else:  # without labels nothing is rejected
+        model.calibration.x, model.calibration.p = np.array([0.0]), np.array([1.0])
     return model
 
 

@@ -140,7 +140,10 @@ def fit(ids: list[int], texts: list[str], labels: list[int]) -> Model:
     model = Model(*learn_lexicon([texts[i] for i in train], [labels[i] for i in train]))
     x, y = model.matrix([texts[i] for i in train]), np.array([labels[i] > 0 for i in train], float)
     model.trees.fit(x, y)
-    model.calibration.fit(model.trees.margin(model.matrix([texts[i] for i in held])), np.array([labels[i] > 0 for i in held], float))
+    if held:
+        model.calibration.fit(model.trees.margin(model.matrix([texts[i] for i in held])), np.array([labels[i] > 0 for i in held], float))
+    else:  # without labels nothing is rejected
+        model.calibration.x, model.calibration.p = np.array([0.0]), np.array([0.0])
     return model
 
 
