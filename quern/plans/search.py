@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +41,11 @@ class Snapshot:
     definition: Definition
 
 
+def local(spark: SparkSession, **columns: tuple[Sequence, pa.DataType]) -> DataFrame:
+    """A few rows as a relation of the plan itself, which needs no job of its own."""
+    return spark.createDataFrame(pa.table({k: pa.array(v, t) for k, (v, t) in columns.items()}))
+
+
 def bucket(term: str) -> int:
     return zlib.crc32(term.encode()) % BUCKETS
 
@@ -99,8 +105,10 @@ def hits(index: Snapshot, queries: Sequence[Parsed], strict: bool = False) -> Da
         need.append((i, len(q.scoring)))
         phrases += [(i, c) for c in q.clauses if c.phrase]
     terms = sorted({r[1] for r in rows})
-    wanted = F.broadcast(spark.createDataFrame(rows, "qid int, term string, scores boolean, excludes boolean"))  # as many rows as the queries have words
-    needed = F.broadcast(spark.createDataFrame(need, "qid int, need bigint"))
+    qid, term, scores, excludes = zip(*rows)
+    wanted = F.broadcast(local(spark, qid=(qid, pa.int32()), term=(term, pa.string()), scores=(scores, pa.bool_()), excludes=(excludes, pa.bool_())))  # as many rows as the queries have words
+    qid, least = zip(*need)
+    needed = F.broadcast(local(spark, qid=(qid, pa.int32()), need=(least, pa.int64())))
 
     found = index.postings.where(F.col("term").isin(terms))
     if "term_bucket" in index.postings.columns:

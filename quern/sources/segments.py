@@ -11,11 +11,12 @@ import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators import build
-from quern.plans.search import BUCKETS, Snapshot
+from quern.plans.search import BUCKETS, Snapshot, local
 from quern.sources.catalog import Definition
 from quern.sources.storage import Files
 
@@ -150,7 +151,7 @@ class Segments:
         postings = self.raw_postings(segments)
         if len(segments) == 1 and segments[0].clean:
             own = segments[0]
-            stats = self.spark.createDataFrame([(own.documents, own.length / own.termed if own.termed else None)], "n bigint, avgdl double")
+            stats = local(self.spark, n=([own.documents], pa.int64()), avgdl=([own.length / own.termed if own.termed else None], pa.float64()))
             return Snapshot(postings, raw, stats, self.definition)
         else:
             docs = resolved(raw)
