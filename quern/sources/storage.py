@@ -30,7 +30,11 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def unique(spark: SparkSession, name: str) -> str:
-    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder in the work folder; a local one goes when the driver ends."""
+    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if "://" not in path or path.startswith("file:"):
+        atexit.register(shutil.rmtree, "/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+    return path
 
 
 class Files:
