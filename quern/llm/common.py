@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def importable(spark: SparkSession) -> None:
@@ -44,7 +45,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder in the shared one. Results read from it lazily: it stays until ``release`` or the driver's end."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all folders that this driver has made; results that read from them can't be used any more."""
+    remove(spark, *_made)
+    _made.clear()
+
+
+@atexit.register
+def _release_local() -> None:
+    for path in _made:
+        if "://" not in path or path.startswith("file:"):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
