@@ -2,14 +2,15 @@
 
 The rows are cut into blocks; each pair of a block of queries and a block of
 rows is one task. A task sorts its rows along every dimension. A query reads
-all lists from the end that its sign in that dimension favours, in portions;
-what it meets for the first time is scored in full. No row that it hasn't met
-can score more than the sum, over dimensions, of its weight times the value
-that the list has come to; it stops when that is below its k-th best. The
-partial results are merged per query.
+all lists from the end that its sign in that dimension favours; what it meets
+is scored in full. No row that it hasn't met can score more than the
+threshold: the sum, over dimensions, of its weight times the value that the
+list has come to. It stops where that is below its k-th best. The partial
+results are merged per query.
 
 Where no dimension tells more than others, as in vectors without structure,
-the bound falls late and most rows are met: the result is exact all the same.
+the threshold falls late and a query meets most rows; it then scores all rows
+of the block at once. The result is exact all the same.
 """
 
 from __future__ import annotations
@@ -35,38 +36,59 @@ class Lists:
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], np.ascontiguousarray(x[order], np.float64)
-        self.down = np.ascontiguousarray(np.argsort(-self.x, 0, kind="stable").T)  # by dimension, greatest value first
-        self.up = np.ascontiguousarray(self.down[:, ::-1])
-        self.values = np.take_along_axis(self.x.T, self.down, 1)
-
-    def top(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """(ids, scores, rows met) of the k best for q, without the id ``own``."""
+        self.down = np.argsort(-self.x, 0, kind="stable").astype(np.int32).T  # by dimension, greatest value first
         n = len(self.ids)
-        q = q.astype(np.float64)
-        weighty = np.flatnonzero(q)
-        lists = np.where((q > 0)[weighty, None], self.down[weighty], self.up[weighty]) if n else np.zeros((0, 0), int)
-        met = np.zeros(n, bool)
-        best_at, best = np.zeros(0, int), np.zeros(0)
-        depth, upto = 0, max(k, n // 64)
-        while depth < n:
-            fresh = np.zeros(n, bool)
-            fresh[lists[:, depth:upto].ravel()] = True
-            if not len(weighty):
-                fresh[:] = True
-            new = np.flatnonzero(fresh & ~met)
-            met[new] = True
-            new = new[self.ids[new] != own]
-            at, s = np.concatenate([best_at, new]), np.concatenate([best, np.round(self.x[new] @ q, DECIMALS)])
-            first = np.lexsort((at, -s))[:k]  # rows are in the order of their ids
-            best_at, best = at[first], s[first]
-            depth = min(upto, n)
-            if met.all():
-                break
-            reached = np.where(q[weighty] > 0, self.values[weighty, depth - 1], self.values[weighty, n - depth])
-            if len(best) == k and float(reached @ q[weighty]) < best[-1] - 10.0**-DECIMALS:
-                break
-            upto = depth * 4
-        return self.ids[best_at], best, int(met.sum())
+        # Depths at which to look whether to stop, and the values that the lists have come to there, from either end.
+        self.depths = sorted({max(1, n >> e) for e in range(7)}) if n else []
+        values = np.take_along_axis(self.x.T, self.down, 1)
+        self.greatest = np.stack([values[:, d - 1] for d in self.depths]) if n else values
+        self.least = np.stack([values[:, n - d] for d in self.depths]) if n else values
+        self.some = np.random.default_rng(n).permutation(n)[: max(256, n // 16)]
+
+    def _best(self, scores: np.ndarray, rows: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best of some rows, which are in the order of their ids."""
+        scores = np.round(scores, DECIMALS)
+        mine = np.searchsorted(self.ids, own)
+        if mine < len(self.ids) and self.ids[mine] == own:
+            scores = np.where(rows == mine, -np.inf, scores)
+        if len(scores) > 4 * k:
+            few = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+            scores, rows = scores[few], rows[few]
+        first = np.lexsort((rows, -scores))[:k]
+        first = first[scores[first] > -np.inf]
+        return self.ids[rows[first]], scores[first]
+
+    def top(self, own: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """For each query, (ids, scores, rows met) of the k best without the id ``own``.
+
+        The k-th best of any rows bounds the k-th best of all from below. So
+        the depth at which a query may stop can be told before its lists are
+        read: the first where the threshold is below that of a sample. Rows
+        met down to there are scored in full. Queries that would meet most
+        rows score all of them, in one product.
+        """
+        q, n = q.astype(np.float64), len(self.ids)
+        if not n:
+            return [(self.ids, np.zeros(0), 0)] * len(q)
+        up, low = np.maximum(q, 0), np.minimum(q, 0)
+        threshold = up @ self.greatest.T + low @ self.least.T  # by query and depth
+        sample = q @ self.x[self.some].T
+        least = k + 1  # one of them may be the query's own row
+        known = np.partition(sample, sample.shape[1] - least, 1)[:, sample.shape[1] - least] if sample.shape[1] >= least else np.full(len(q), -np.inf)
+        stops = threshold < known[:, None] - 2 * 10.0**-DECIMALS
+        depth = np.where(stops.any(1), np.array(self.depths)[stops.argmax(1)], n)
+        weighty = (q != 0).sum(1)
+        short = depth * weighty < n // 2
+        out: list = [None] * len(q)
+        for i in np.flatnonzero(short):
+            d, dims = depth[i], np.flatnonzero(q[i])
+            met = np.unique(np.concatenate([self.down[j, :d] if q[i, j] > 0 else self.down[j, n - d :] for j in dims])) if len(dims) else np.arange(n)
+            out[i] = (*self._best(self.x[met] @ q[i], met, own[i], k), len(met))
+        rest, every = np.flatnonzero(~short), np.arange(n)
+        for part in np.array_split(rest, max(1, len(rest) // 128)):
+            for i, scores in zip(part, q[part] @ self.x.T):
+                out[i] = (*self._best(scores, every, own[i], k), n)
+        return out
 
 
 def search(table: DataFrame, k: int = K, id_column: str = "vec_id", column: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -90,7 +112,7 @@ def search(table: DataFrame, k: int = K, id_column: str = "vec_id", column: str
         x = stacked(group["v"].combine_chunks())
         of_query, of_data = side == 0, side == 1
         lists = Lists(ids[of_data], x[of_data])
-        out = [(own, *lists.top(own, q, k)[:2]) for own, q in zip(ids[of_query], x[of_query])] if of_data.any() else []
+        out = [(own, *found[:2]) for own, found in zip(ids[of_query], lists.top(ids[of_query], x[of_query], k))]
         return pa.table({
             "query_id": pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64)),
             "neighbor_id": pa.array(np.concatenate([o[1] for o in out] or [np.zeros(0)]).astype(np.int64)),

@@ -41,10 +41,10 @@ def test_threshold_stops_early():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((5_000, 4)) * [10, 0.1, 0.1, 0.1]
     lists = Lists(np.arange(5_000), x)
-    ids, scores, met = lists.top(-1, x[7], 5)
+    ids, scores, met = lists.top(np.array([-1]), x[7:8], 5)[0]
     want = np.argsort(-(x @ x[7]), kind="stable")[:5]
     assert ids.tolist() == want.tolist() and met < 2_500 and np.allclose(scores, (x @ x[7])[want])
-    assert lists.top(-1, np.zeros(4), 3)[0].tolist() == [0, 1, 2]
+    assert lists.top(np.array([-1]), np.zeros((1, 4)), 3)[0][0].tolist() == [0, 1, 2]
 
 
 def test_rows_that_are_no_vectors(spark):
