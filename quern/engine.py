@@ -17,6 +17,7 @@ from quern.plans.parser import Page, Parsed, parse
 from quern.sources.catalog import Catalog, CreateRequest, Definition
 from quern.sources.config import Config
 from quern.sources.segments import Segment, Segments, should_merge
+from quern.sources.storage import Files
 
 
 @dataclass(frozen=True)
@@ -50,10 +51,11 @@ def id_errors(docs: DataFrame) -> DataFrame:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, catalog_folder: str, config: Config | None = None):
-        """``root`` holds the data, on a file system that all executors share; the catalog is the driver's."""
+    def __init__(self, spark: SparkSession, root: str, catalog_folder: str | None = None, config: Config | None = None):
+        """``root`` holds the data, on a file system that all executors share; the catalog too, unless a folder of the driver's is given."""
         self.spark, self.root, self.config = spark, root.rstrip("/"), config or Config()
-        self.catalog = Catalog(catalog_folder, self.config.tokenizer, self.config.bm25)
+        files = Files(spark, root) if catalog_folder is None else None
+        self.catalog = Catalog(catalog_folder or f"{self.root}/_catalog", self.config.tokenizer, self.config.bm25, files)
         self.counters: Counter[str] = Counter()
 
     # -- catalog ------------------------------------------------------------

@@ -6,7 +6,6 @@ in the shared work folder, and searched by all queries.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -322,7 +321,7 @@ def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same search as ``search_and``, over an index that a stream has filled."""
     root = unique(spark, "streamed")
-    engine = Engine(spark, root, tempfile.mkdtemp(prefix="quern-catalog-"))  # the catalog is the driver's own
+    engine = Engine(spark, root)
     engine.create_index({"name": "documents", "fields": {"text": {"type": "text"}}})
     schema = table(spark, sf_dir, "documents").schema
     # A pattern, so that the table may be a file or a folder of files.

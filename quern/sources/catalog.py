@@ -8,7 +8,7 @@ import re
 from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
 
-from quern.sources.storage import local_json
+from quern.sources.storage import Files, local_json
 
 TEXT, KEYWORD = "text", "keyword"
 MOST_FIELDS, LONGEST_NAME = 64, 64
@@ -105,15 +105,20 @@ class CreateRequest:
 
 
 class Catalog:
-    """Definitions in memory, each with a JSON file on the driver's disk."""
+    """Definitions in memory, each with a JSON file: on the driver's disk, or wherever ``files`` reaches."""
 
-    def __init__(self, folder: str, tokenizer: str = "", bm25: BM25 | None = None):
-        self.folder = folder
+    def __init__(self, folder: str, tokenizer: str = "", bm25: BM25 | None = None, files: Files | None = None):
+        self.folder, self.files = folder, files
         self.tokenizer = tokenizer or "standard"
         given = bm25 or BM25(0, 0)
         self.bm25 = BM25(given.k1 or 1.2, given.b or 0.75)  # a default of 0 counts as none
-        os.makedirs(folder, exist_ok=True)
-        self._known = {d.name: d for d in load_definitions(folder)}
+        if files is None:
+            os.makedirs(folder, exist_ok=True)
+            found = load_definitions(folder)
+        else:
+            files.make(folder)
+            found = [Definition.from_dict(files.read(f"{folder}/{n}")) for n in files.names(folder) if n.endswith(".json") and n[0] != "."]
+        self._known = {d.name: d for d in found}
 
     def create(self, request: CreateRequest) -> Definition:
         request.validate()
@@ -137,7 +142,7 @@ class Catalog:
         self._save(definition)
 
     def _save(self, definition: Definition) -> None:
-        local_json(f"{self.folder}/{definition.name}.json", definition.to_dict())
+        (local_json if self.files is None else self.files.write)(f"{self.folder}/{definition.name}.json", definition.to_dict())
         self._known[definition.name] = definition
 
 

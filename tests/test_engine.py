@@ -40,6 +40,14 @@ def test_search_page_delete_compact(spark, engine):
     assert engine.search_many("a", [("fox", ""), ("-fox", "")]).count() == 10
 
 
+def test_catalog_beside_the_data(spark, tmp_path):
+    one = Engine(spark, str(tmp_path / "data"))
+    one.create_index(TEXT)
+    one.index_documents("a", spark.createDataFrame([("1", "red fox")], "id string, title string"))
+    again = Engine(spark, str(tmp_path / "data"))
+    assert again.get_index("a").doc_count == 1 and again.search("a", "fox").total == 1
+
+
 def test_flush_plan_follows_the_configuration(spark, engine):
     docs = spark.createDataFrame([(str(i), "a") for i in range(5)], "id string, title string")
     assert [r["segment"] for r in engine.flush_plan("a", docs, ["id"]).orderBy("id").collect()] == [0, 0, 1, 1, 2]
