@@ -18,7 +18,9 @@ through an automaton of UTF-8 until it is back between two characters.
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -34,7 +36,7 @@ from quern.llm.common import fresh, importable, table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Remembered pieces, transitions and pairs of tokens before each memory is emptied; bounds on memory alone.
-PIECES, TRANSITIONS, PAIRS = 600_000, 600_000, 1_000_000
+PIECES, TRANSITIONS, PAIRS = 400_000, 250_000, 400_000
 LONG = 64
 
 
@@ -269,6 +271,16 @@ class Decoder:
         return left
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """No search for cycles, which states and transitions don't form, while many of them are made."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 @lru_cache(2)
 def encoder_of(path: str) -> Encoder:
     return Encoder(path)
@@ -306,7 +318,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY, verify: bool = True) -> Data
         decoder = Decoder(path)
         for b in batches:
             texts = b.column(1).to_pylist()
-            own = [e.encode(t) for t in texts]
+            with _uncollected():
+                own = [e.encode(t) for t in texts]
             size = np.array([len(x) for x in own], np.int64)
             flat = np.concatenate([*own, np.zeros(0, np.int32)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
