@@ -1,7 +1,7 @@
 """Toxicity: boosted trees over dense features, calibrated by isotonic regression.
 
 The lexicon is learned from labelled rows: words, and word beginnings of four
-to six letters, that toxic rows hold far more often than others. The features
+to eight letters, that toxic rows hold far more often than others. The features
 are lexicon densities, the nearness of hits to second-person words, and the
 rates of capitals, punctuation and obfuscation. An Aho-Corasick automaton
 finds the hits over the whole text.
@@ -42,14 +42,15 @@ _PUNCT = np.array([*b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"])
 
 def learn_lexicon(texts: list[str], labels: list[int], least: int = 6, precision: float = 0.9) -> tuple[set[str], set[str]]:
     """(words, stems) seen in at least ``least`` toxic rows and, smoothed, at ``precision`` times in them."""
-    counts = (Counter(), Counter())
-    for text, label in zip(texts, labels):
+    def grams(text: str) -> set[str]:
         words = set(_WORD.findall(text.lower()))
-        grams = {w for w in words if len(w) > 2} | {w[:n] + "\0" for w in words for n in (4, 5, 6) if len(w) > n}
-        counts[label > 0].update(grams)
-    clean, toxic = counts
+        return {w for w in words if len(w) > 2} | {w[:n] + "\0" for w in words for n in range(4, 9) if len(w) > n}
+
+    toxic = Counter(g for text, label in zip(texts, labels) if label > 0 for g in grams(text))
+    toxic = Counter({g: k for g, k in toxic.items() if k >= least})  # no other can be accepted, so that few are counted in clean rows
+    clean = Counter(g for text, label in zip(texts, labels) if label <= 0 for g in grams(text) if g in toxic)
     n_clean, n_toxic = max(1, sum(y <= 0 for y in labels)), max(1, sum(y > 0 for y in labels))
-    good = {g for g, k in toxic.items() if k >= least and (k / n_toxic) / (k / n_toxic + (clean[g] + 0.5) / n_clean) >= precision and k / (k + clean[g]) >= 0.7}
+    good = {g for g, k in toxic.items() if (k / n_toxic) / (k / n_toxic + (clean[g] + 0.5) / n_clean) >= precision and k / (k + clean[g]) >= 0.7}
     stems: set[str] = set()
     for g in sorted((g[:-1] for g in good if g[-1] == "\0"), key=len):
         if not any(g.startswith(s) for s in stems):
