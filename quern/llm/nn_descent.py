@@ -4,15 +4,18 @@ A neighbour graph is begun with the nearest rows in buckets of a few random
 sign hashes and refined: each round joins the neighbours of a row, and the
 rows that it is a neighbour of, with each other, where one of the two is new
 to it. A list that is saturated, having only near-duplicates, is enlarged: it
-keeps all of them. An audit compares a sample of rows with brute force over
-all; while recall is too low, lists are doubled, more hashes added and rounds
-run. Edges at or above the threshold are the result.
+keeps all of them. There are as many hashes as let any pair at the threshold
+meet with the wanted probability, whatever else the table holds. An audit
+compares a sample of rows with brute force over all; while recall is too low,
+lists are doubled, more hashes added and rounds run. Edges at or above the
+threshold are the result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +27,18 @@ from quern.llm.vectors import stacked, usable
 
 THRESHOLD = 0.9
 NEIGHBOURS = 10
+#: Hashes whose buckets are made at once.
 HASHES = 8
 #: Rows that a bucket of a hash has on average, and rows of it that are compared in one piece.
 BUCKET, PIECE = 64, 4096
-#: Rows of the audit (a sample for measuring only), the recall that it must show, and attempts to reach it.
-AUDIT, RECALL, ATTEMPTS = 256, 0.95, 4
+#: The recall that hashes are made for and that the audit must show, and attempts to reach it.
+RECALL, ATTEMPTS = 0.95, 4
+#: Rows with a near duplicate that the audit needs, and rows that it begins with and samples at most (for measuring only).
+EVIDENCE, AUDIT, AUDIT_MOST = 200, 256, 16_384
+#: Where the audit finds too few such rows, the probability with which the hashes must let a pair at the threshold meet.
+SURE = 0.99
+#: What the cosine of a pair may differ by when it is computed in another product.
+ROUNDING = 1e-6
 #: A refinement ends when a round adds less than this share of near-duplicate edges.
 SETTLED, ROUNDS = 0.001, 6
 
@@ -43,9 +53,31 @@ def _table(u, v, s) -> pa.Table:
     return pa.table({"u": pa.array(np.asarray(u, np.int64)), "v": pa.array(np.asarray(v, np.int64)), "sim": pa.array(np.asarray(s, np.float64))})
 
 
+def meeting(bits: int, t: float, hashes: int) -> float:
+    """The probability that two rows of cosine t are in one bucket of some of the hashes, of so many signs each."""
+    p = (1 - math.acos(max(-1.0, min(1.0, t))) / math.pi) ** bits
+    return 1 - (1 - p) ** hashes
+
+
+def hashes_for(bits: int, t: float, recall: float = RECALL) -> int:
+    """The least number of hashes with which two rows of cosine t meet with the probability ``recall``."""
+    p = meeting(bits, t, 1)
+    if p >= recall:
+        return 1
+    return math.ceil(math.log1p(-recall) / math.log1p(-p)) if p > 0 else 1 << 62
+
+
+def bits_for(count: int, t: float) -> int:
+    """Signs of a hash: for buckets of ``BUCKET`` rows, but so few that hashes don't cost more than comparing all rows."""
+    bits = max(0, math.ceil(math.log2(max(1, count) / BUCKET)))
+    while bits and hashes_for(bits, t) > 1 << bits:
+        bits -= 1
+    return bits
+
+
 def begin(rows: DataFrame, count: int, k: int, t: float, hashes: int, seed: int) -> DataFrame:
     """``(u, v, sim)``: per bucket of each hash, the k nearest of every row, and all that are near duplicates."""
-    bits = max(0, math.ceil(math.log2(max(1, count) / BUCKET)))
+    bits = bits_for(count, t)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,32 +173,58 @@ def refined(graph: DataFrame, rows: DataFrame, k: int, t: float) -> DataFrame:
     return shortened(merged, k, t)
 
 
-def audited(graph: DataFrame, rows: DataFrame, t: float, most: int = AUDIT) -> float:
-    """The share of the near duplicates of a sample of rows, found by brute force over all rows, that the graph has."""
-    spark = rows.sparkSession
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(most).collect()  # a bounded sample of vectors
-    if not picked:
-        return 1.0
-    ids = np.array([r["id"] for r in picked], np.int64)
-    x = _unit(np.array([r["v"] for r in picked], np.float32))
+class Audit(NamedTuple):
+    """Mean recall of the sampled rows that have a near duplicate, how many these are, and whether all rows were sampled."""
+
+    recall: float
+    rows: int
+    whole: bool
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own, y = b.column(0).to_numpy(), _unit(stacked(b.column(1), x.shape[1]))
-            sim = x @ y.T
-            i, j = np.nonzero((sim >= t) & (ids[:, None] != own[None, :]))
-            yield from _table(ids[i], own[j], sim[i, j]).to_batches()
 
-    true = rows.mapInArrow(run, _EDGES)
-    found = true.join(graph.select("u", "v", F.lit(1).alias("hit")), ["u", "v"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
-    return found["hits"] / found["n"] if found["n"] else 1.0
+def audited(graph: DataFrame, rows: DataFrame, t: float, enough: int = EVIDENCE, most: int = AUDIT_MOST) -> Audit:
+    """What share of a row's near duplicates, found by brute force over all rows, the graph has, as the mean over a sample.
+
+    The sample grows until ``enough`` of it have a near duplicate, or it has ``most`` rows or all.
+    """
+    count = rows.count()
+    share = min(1.0, most / max(1, count))
+    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).toArrow()  # a bounded sample of vectors
+    order = np.argsort(picked["id"].to_numpy())
+    order = order[np.random.default_rng(0).permutation(len(order))]
+    every, vectors = picked["id"].to_numpy()[order], _unit(stacked(picked["v"].combine_chunks()))[order]
+    edges = graph.where(F.col("sim") >= t).select("u", "v", F.lit(1).alias("hit"))
+
+    def compared(ids: np.ndarray, x: np.ndarray) -> tuple[float, int]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own, y = b.column(0).to_numpy(), _unit(stacked(b.column(1), x.shape[1]))
+                for a in range(0, len(ids), 512):
+                    sim = x[a : a + 512] @ y.T
+                    i, j = np.nonzero((sim >= t + ROUNDING) & (ids[a : a + 512, None] != own[None, :]))
+                    yield from _table(ids[a + i], own[j], sim[i, j]).to_batches()
+
+        each = rows.mapInArrow(run, _EDGES).join(edges, ["u", "v"], "left").groupBy("u").agg((F.count("hit") / F.count("*")).alias("recall"))
+        got = each.agg(F.sum("recall").alias("recalls"), F.count("*").alias("n")).first()
+        return got["recalls"] or 0.0, got["n"]
+
+    recalls, n, done, size = 0.0, 0, 0, AUDIT
+    while done < len(every) and n < enough:
+        more = compared(every[done:size], vectors[done:size])
+        recalls, n = recalls + more[0], n + more[1]
+        done, size = min(size, len(every)), 4 * size
+    return Audit(recalls / n if n else 1.0, n, done == count)
+
+
+def accepted(audit: Audit, sure: float) -> bool:
+    """Whether the audit shows the recall; too few rows with a near duplicate show it only together with enough hashes."""
+    return audit.recall >= RECALL and (audit.whole or audit.rows >= EVIDENCE or sure >= SURE)
 
 
 def near_duplicates(table: DataFrame, t: float = THRESHOLD, k: int = NEIGHBOURS, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """``(id_a, id_b, similarity)``, id_a < id_b: pairs with a cosine of at least t.
 
-    Approximate: the audit makes it likely that at least 95 % of them are
-    there. Rows that ``vectors.usable`` leaves out are in no pair, nor is a
+    Approximate: any pair is found with a probability of at least 95 %, and
+    the mean recall of the audit's rows is at least that. Rows that ``vectors.usable`` leaves out are in no pair, nor is a
     vector of zeros, whose cosine counts as 0. Repeated rows are one. An empty
     table gives no pairs; other columns don't matter.
     """
@@ -174,9 +232,19 @@ def near_duplicates(table: DataFrame, t: float = THRESHOLD, k: int = NEIGHBOURS,
     importable(spark)
     rows, at_rows = written(usable(table, id_column, column), "vectors")
     count = rows.count()
-    graph, path = written(shortened(begin(rows, count, k, t, HASHES, 0), k, t).withColumn("new", F.lit(True)), "graph")
-    near = graph.where(F.col("sim") >= t).count()
+    bits = bits_for(count, t)
+    hashes, seeds = hashes_for(bits, t), 0
+    graph = path = None
     for attempt in range(ATTEMPTS):
+        for made in range(0, hashes, HASHES):
+            more = begin(rows, count, k, t, min(HASHES, hashes - made), seeds).withColumn("new", F.lit(True))
+            if graph is not None:
+                more = graph.union(more).groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+            graph, new_path = written(shortened(more, k, t), "graph")
+            if path:
+                remove(spark, path)
+            path, seeds = new_path, seeds + 1
+        near = graph.where(F.col("sim") >= t).count()
         for _ in range(ROUNDS):
             graph, new_path = written(refined(graph, rows, k, t), "graph")
             remove(spark, path)
@@ -184,14 +252,11 @@ def near_duplicates(table: DataFrame, t: float = THRESHOLD, k: int = NEIGHBOURS,
             near = graph.where(F.col("sim") >= t).count()
             if near - before <= SETTLED * max(1, near):
                 break
-        if audited(graph, rows, t) >= RECALL or attempt == ATTEMPTS - 1:
+        audit = audited(graph, rows, t)
+        if accepted(audit, meeting(bits, t, hashes * (attempt + 1))) or attempt == ATTEMPTS - 1:
             break
-        k *= 2
-        more = begin(rows, count, k, t, HASHES, attempt + 1).withColumn("new", F.lit(True))
-        both = graph.union(more).groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-        graph, new_path = written(shortened(both, k, t), "graph")
-        remove(spark, path)
-        path = new_path
+        if audit.recall < RECALL:
+            k *= 2
     pairs = graph.where(F.col("sim") >= t).groupBy(F.least("u", "v").alias("id_a"), F.greatest("u", "v").alias("id_b")).agg(F.max("sim").alias("similarity"))
     return pairs
 

@@ -73,3 +73,27 @@ def test_refinement_finds_what_the_start_missed(spark):
     better = nn_descent.refined(graph, df, 4, 0.9).cache()
     mean = lambda g: g.agg({"sim": "avg"}).first()[0]
     assert mean(better) > mean(graph) and nn_descent.audited(better, df, 0.9) >= nn_descent.audited(graph, df, 0.9)
+
+
+@pytest.mark.parametrize("count", [51_282, 500_000, 15_000_000])
+def test_hashes_follow_from_the_size(count):
+    """A pair at the threshold meets with the wanted recall, at any size."""
+    bits = nn_descent.bits_for(count, 0.9)
+    hashes = nn_descent.hashes_for(bits, 0.9)
+    assert nn_descent.meeting(bits, 0.9, hashes) >= nn_descent.RECALL > nn_descent.meeting(bits, 0.9, hashes - 1)
+
+
+def test_audit_needs_rows_with_near_duplicates(spark):
+    """Three pairs among 2,000 rows: the audit looks until it meets them, row by row; none of a part of the table is no evidence."""
+    x = vectors(2_000, 32, 11)
+    x[-3:] = x[:3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    none = spark.createDataFrame([], "u long, v long, sim double, new boolean")
+    found = nn_descent.audited(none, df, 0.9)
+    assert tuple(found) == (0.0, 6, True) and not nn_descent.accepted(found, 1.0)
+    part = nn_descent.audited(none, df.where("id between 10 and 1900"), 0.9, most=400)
+    assert part.rows == 0 and not part.whole
+    assert not nn_descent.accepted(part, nn_descent.RECALL) and nn_descent.accepted(part, nn_descent.SURE)
+    pairs = [(i, 1_997 + i) for i in range(3)]
+    group = spark.createDataFrame([(a, b, 1.0, True) for p in pairs[:2] for a, b in (p, p[::-1])], none.schema)
+    assert abs(nn_descent.audited(group, df, 0.9).recall - 4 / 6) < 1e-9
