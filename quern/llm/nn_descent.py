@@ -224,7 +224,10 @@ def near_duplicates(table: DataFrame, t: float = THRESHOLD, k: int = NEIGHBOURS,
     """``(id_a, id_b, similarity)``, id_a < id_b: pairs with a cosine of at least t.
 
     Approximate: any pair is found with a probability of at least 95 %, and
-    the mean recall of the audit's rows is at least that. Rows that ``vectors.usable`` leaves out are in no pair, nor is a
+    the mean recall of the audit's rows is at least that. Each attempt takes
+    as many hashes again; if the audit fails after the last of ``ATTEMPTS``,
+    by when a pair is missed with a probability of (1 - ``RECALL``) to the
+    power of ``ATTEMPTS``, that is an error and nothing is returned. Rows that ``vectors.usable`` leaves out are in no pair, nor is a
     vector of zeros, whose cosine counts as 0. Repeated rows are one. An empty
     table gives no pairs; other columns don't matter.
     """
@@ -253,10 +256,12 @@ def near_duplicates(table: DataFrame, t: float = THRESHOLD, k: int = NEIGHBOURS,
             if near - before <= SETTLED * max(1, near):
                 break
         audit = audited(graph, rows, t)
-        if accepted(audit, meeting(bits, t, hashes * (attempt + 1))) or attempt == ATTEMPTS - 1:
+        if accepted(audit, meeting(bits, t, hashes * (attempt + 1))):
             break
         if audit.recall < RECALL:
             k *= 2
+    else:
+        raise RuntimeError(f"after {ATTEMPTS * hashes} hashes the audit of {audit.rows} rows still shows a recall of {audit.recall:.3f}; {RECALL} is wanted")
     pairs = graph.where(F.col("sim") >= t).groupBy(F.least("u", "v").alias("id_a"), F.greatest("u", "v").alias("id_b")).agg(F.max("sim").alias("similarity"))
     return pairs
 

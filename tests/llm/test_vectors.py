@@ -97,3 +97,14 @@ def test_audit_needs_rows_with_near_duplicates(spark):
     pairs = [(i, 1_997 + i) for i in range(3)]
     group = spark.createDataFrame([(a, b, 1.0, True) for p in pairs[:2] for a, b in (p, p[::-1])], none.schema)
     assert abs(nn_descent.audited(group, df, 0.9).recall - 4 / 6) < 1e-9
+
+
+def test_a_failed_audit_is_an_error(spark, monkeypatch):
+    """More hashes until the audit is met; where it never is, nothing is returned."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors(60, 4, 2, copies=9))], "vec_id long, embedding array<float>")
+    shown = [0.5, 0.94, 0.96]
+    monkeypatch.setattr(nn_descent, "audited", lambda *_: nn_descent.Audit(shown.pop(0), 60, True))
+    assert nn_descent.near_duplicates(df).count() > 0 and not shown
+    shown += [0.94] * nn_descent.ATTEMPTS
+    with pytest.raises(RuntimeError, match="recall of 0.940"):
+        nn_descent.near_duplicates(df)
