@@ -6,7 +6,8 @@ every block-level element begins a line. The block
 of a line is the text length of a window of lines that begins there. Text is
 kept from where the distribution surges (a block above a threshold whose
 successors aren't empty) to where it dives (a block that is empty or small),
-for every such stretch of the page.
+for every such stretch of the page. Where nothing surges, as on a page of a
+few short paragraphs, half of the page's greatest block is the threshold.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def stretches(blocks: np.ndarray, surge: int = SURGE, dive: int = DIVE, window:
 
 
 def extract(page: str | None, surge: int = SURGE, dive: int = DIVE, window: int = WINDOW) -> str | None:
-    """The main text, a line for each block; null for null, empty where nothing surges."""
+    """The main text, a line for each block; null for null, empty where no text is left but that of links."""
     if page is None:
         return None
     lines, weights = lines_of(page)
@@ -86,7 +87,13 @@ def extract(page: str | None, surge: int = SURGE, dive: int = DIVE, window: int
         return ""
     texts, weights = zip(*kept)
     out = []
-    for a, b in stretches(blocks_of(list(weights), window), surge, dive, window):
+    blocks = blocks_of(list(weights), window)
+    found = stretches(blocks, surge, dive, window)
+    if not found and (greatest := int(blocks.max())):  # a short page: what surges is told by its own greatest block
+        surge = max(1, min(surge, greatest // 2))
+        at = int(blocks.argmax())
+        found = stretches(blocks, surge, min(dive, surge), window) or [(at, min(at + window, len(texts)) - 1)]
+    for a, b in found:
         # A window that surges begins at most window - 1 lines before the text does.
         while a < b and weights[a] < dive and weights[a] * 4 < max(weights[a : a + window]):
             a += 1
@@ -105,7 +112,7 @@ def extracted(**limits: int) -> Callable[[Column], Column]:
 def extract_pages(pages: DataFrame, **limits: int) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of ``pages``.
 
-    A null page gives a null text and 0 characters, a page without a surge an
+    A null page gives a null text and 0 characters, a page of links alone an
     empty text. Broken markup is read as far as it goes: an element that isn't
     closed ends with the page. Repeated rows are extracted each, other columns
     are left out, an empty table gives none.

@@ -61,3 +61,11 @@ def test_on_tables(spark):
     assert by[3]["n_chars"] > 250_000 and "unclosed text here" in by[4]["text"]
     assert all(r["text"] == H.extract(h) for r, h in zip(sorted(out[: len(ODD)], key=lambda r: r["page_id"]), ODD))
     assert H.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_short_pages_keep_their_text():
+    """Where no window reaches the threshold the page's own greatest block sets it; links alone stay out."""
+    page = "<body><nav><a href='/'>Home</a></nav><article><h1>Notice</h1><p>Closed on Monday.</p><p>Open again on Tuesday.</p></article><footer>&copy; us</footer></body>"
+    assert H.extract(page) == "Notice\nClosed on Monday.\nOpen again on Tuesday."
+    assert H.extract("<p>Hi</p>") == "Hi" and H.extract("<p>One short line.</p><a>x</a><br><a>y</a>").startswith("One short line.")
+    assert H.extract("<p><a href='/a'>only</a></p><p><a href='/b'>links</a></p>") == ""
