@@ -27,7 +27,12 @@ WINDOW = 3
 #: Characters in a window at which text surges, and below which it dives.
 SURGE, DIVE = 86, 8
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|nav|footer|aside|form|svg|iframe|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|nav|footer|aside|svg|iframe|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
+_BODY = r"(?:address|article|aside|blockquote|body|center|div|dl|fieldset|figure|footer|form|h[1-6]|header|hr|img|main|nav|ol|p|pre|section|table|ul)"
+# A head ends where it is closed, or at the first thing that can't be in one: its closing tag may be left out.
+_HEAD = re.compile(rf"<head\b[^>]*>(?:(?:(?!<(?:head|{_BODY})\b).)*?</head\s*>|(?:\s|<title\b[^>]*>[^<]*|</?(?:base|link|meta|title)\b[^>]*>)*)", re.S | re.I)
+_FORM = re.compile(r"<form\b[^>]*>(.*?)(?:</form\s*>|\Z)", re.S | re.I)
+_FIELD = re.compile(r"<(label|legend|textarea|a)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 # A small element, without others of its kind in it, that its class or id names as an advertisement or a list of links.
 _NAMED = re.compile(r"<(div|section|ul|p|span|table)\b[^>]*?\b(?:class|id)\s*=\s*[\"']?(?:[^\"'>]*[\s_-])?(?:ads?|adverts?|advertisement|banner|breadcrumbs?|cookies?|menu|nav|navbar|pagination|promo|related|share|sidebar|social|sponsored)(?:[\s_-][^\"'>]*)?[\"']?[\s>](?:(?!<\1\b).)*?</\1\s*>", re.S | re.I)
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|center|dd|details|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|legend|li|main|nav|ol|option|p|pre|section|summary|table|tbody|td|tfoot|th|thead|tr|ul)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/?>", re.I)
@@ -36,9 +41,21 @@ _LINK = re.compile(r"<a\b[^>]*>(.*?)</a\s*>", re.S | re.I)
 _SPACE = re.compile(r"[ \t\r\f\v ]+")
 
 
+def _weight(part: str) -> int:
+    return len(_SPACE.sub("", _TAG.sub("", _FIELD.sub("", part)).replace("\n", "")))
+
+
+def _without_forms(page: str) -> str:
+    """The page without its forms, but with what is in a form that holds most of the page's text."""
+    if not _FORM.search(page):
+        return page
+    total = _weight(page)
+    return _FORM.sub(lambda m: f"\n{m[1]}\n" if 2 * _weight(m[1]) > total else "\n", page)
+
+
 def lines_of(page: str) -> tuple[list[str], list[int]]:
     """The text of each line of a page without its markup, and how much of it isn't the text of links."""
-    page = _NAMED.sub("\n", _DROP.sub("\n", page))
+    page = _NAMED.sub("\n", _without_forms(_HEAD.sub("\n", _DROP.sub("\n", page))))
     page = _LINK.sub(lambda m: "\x01" + m[1] + "\x02", page.replace("\x01", "").replace("\x02", ""))
     page = _TAG.sub("", _BLOCK.sub("\n", page.replace("\n", " ")))
     lines, weights, linked = [], [], False

@@ -69,3 +69,17 @@ def test_short_pages_keep_their_text():
     assert H.extract(page) == "Notice\nClosed on Monday.\nOpen again on Tuesday."
     assert H.extract("<p>Hi</p>") == "Hi" and H.extract("<p>One short line.</p><a>x</a><br><a>y</a>").startswith("One short line.")
     assert H.extract("<p><a href='/a'>only</a></p><p><a href='/b'>links</a></p>") == ""
+
+
+@pytest.mark.parametrize("body", ["<body>{}</body>", "<div>{}</div>", "<p>{}", "{}"])
+def test_head_without_its_closing_tag(body):
+    head = "<html><head><meta charset=utf-8><title>Title words</title><script>document.write('<div>no</div>')</script><link rel=x href=y>"
+    text = H.extract(head + body.format(BODY[0]))
+    assert "river ran past" in text and not any(w in text for w in ("Title words", "write", "no</div>"))
+
+
+def test_a_form_round_the_page_is_no_form():
+    page = PAGE.replace("<article>", "<form action='/'><article>").replace("</article>", "<label>Your name</label></article></form>")
+    assert "river ran past" in H.extract(page) and "Short one." in H.extract(page.replace("</form>", ""))
+    small = PAGE.replace("</article>", "</article><form><p>Write to us here, we answer every letter.</p><label>Your name</label></form>")
+    assert "river ran past" in H.extract(small) and "Write to us" not in H.extract(small)
