@@ -114,3 +114,15 @@ def test_boosting_and_isotonic():
 
 def test_copies_do_not_train_twice():
     assert representative(["a b c d", "a b c d", "x y z w", ""]) == [0, 2, 3]
+
+
+def test_pieces_come_from_whole_texts_and_all_rows(monkeypatch):
+    """Not only the first and the middle piece, nor the first rows; the same ones on every run."""
+    texts = [f"<{i}>" + "".join(f"{p:04d}" * (quality.PIECE // 4) for p in range(10)) for i in range(300)]
+    cut = quality.chosen(texts)
+    assert len(cut) == 300 * quality.PIECES and cut == quality.chosen(texts[::-1])
+    assert {c[quality.PIECE // 2 :].decode()[i : i + 8] for c in cut for i in range(4)} >= {f"{p:04d}" * 2 for p in range(10)}
+    monkeypatch.setattr(quality, "ENOUGH", 60_000)
+    few = [f"{i:04d} " * 200 for i in range(300)]
+    ids = {int(c[:4]) for c in quality.chosen(few)}
+    assert len(ids) < 100 and max(ids) > 250 and min(ids) < 50
