@@ -124,12 +124,14 @@ def refined(graph: DataFrame, rows: DataFrame, k: int, t: float) -> DataFrame:
     """One round: ``graph`` (u, v, sim, new) with what its neighbours' neighbours add.
 
     Into the join of a row go its k nearest, k more of its near duplicates and
-    k of the rows that it is a neighbour of, the latter two in the order of a
-    hash, so that other ones come in as lists change.
+    k of the rows that it is a neighbour of, the latter two new ones first and
+    then in the order of a hash. An edge stays new until it has been in the
+    join of its row.
     """
     near = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
-    some = Window.partitionBy("u").orderBy(F.xxhash64("u", "v"))
-    out = graph.withColumn("r", F.row_number().over(near)).withColumn("h", F.row_number().over(some)).where((F.col("r") <= k) | (F.col("h") <= k)).select("u", "v", "new")
+    some = Window.partitionBy("u").orderBy(F.desc("new"), F.xxhash64("u", "v"))
+    ranked = graph.withColumn("r", F.row_number().over(near)).withColumn("h", F.row_number().over(some)).withColumn("in", (F.col("r") <= k) | (F.col("h") <= k))
+    out = ranked.where("in").select("u", "v", "new")
     back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "new").withColumn("h", F.row_number().over(some)).where(F.col("h") <= k).drop("h")
     lists = out.union(back).groupBy("u", "v").agg(F.max("new").alias("new"))
     worst = graph.withColumn("r", F.row_number().over(near)).where(F.col("r") == k).select(F.col("u").alias("id"), F.col("sim").alias("worst"))
@@ -169,7 +171,7 @@ def refined(graph: DataFrame, rows: DataFrame, k: int, t: float) -> DataFrame:
             yield emit(found)
 
     more = joined.mapInArrow(run, _EDGES).withColumn("new", F.lit(True))
-    merged = graph.withColumn("new", F.lit(False)).union(more).groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    merged = ranked.select("u", "v", "sim", (F.col("new") & ~F.col("in")).alias("new")).union(more).groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
     return shortened(merged, k, t)
 
 

@@ -108,3 +108,15 @@ def test_a_failed_audit_is_an_error(spark, monkeypatch):
     shown += [0.94] * nn_descent.ATTEMPTS
     with pytest.raises(RuntimeError, match="recall of 0.940"):
         nn_descent.near_duplicates(df)
+
+
+def test_edges_left_out_of_a_round_stay_new(spark):
+    """Of 30 equal rows 2 + 2 come into a row's join at k = 2; the others are still new, and come in by and by."""
+    df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(30)], "id long, v array<float>")
+    graph = spark.createDataFrame([(u, v, 1.0, True) for u in range(30) for v in range(30) if u != v], "u long, v long, sim double, new boolean")
+    left = [graph.where("new").count()]
+    for _ in range(2):
+        rows = nn_descent.refined(graph, df, 2, 0.9).collect()
+        graph = spark.createDataFrame(rows, graph.schema)
+        left.append(sum(r["new"] for r in rows))
+    assert 30 * 29 - 30 * 4 <= left[1] < left[0] and 0 < left[2] < left[1] and len(rows) == 30 * 29
