@@ -37,6 +37,22 @@ def unique(spark: SparkSession, name: str) -> str:
     return path
 
 
+def publish(fs: Any, beside: Any, path: Any) -> bool:
+    """Give a written file its name; false, and nothing changed, where another has it.
+
+    Both are Hadoop paths. A rename does it on file systems that refuse to
+    rename onto a file; a local one doesn't refuse, but a hard link does.
+    """
+    if fs.getUri().getScheme() != "file":
+        return not fs.exists(path) and fs.rename(beside, path)
+    try:
+        os.link(beside.toUri().getPath(), path.toUri().getPath())
+    except FileExistsError:
+        return False
+    fs.delete(beside, False)
+    return True
+
+
 class Files:
     """Text files and folders on any file system that Spark can reach."""
 
@@ -59,6 +75,9 @@ class Files:
         self._fs.delete(self._path(path), True)
 
     def read(self, path: str) -> Any:
+        folder, _, name = path.rpartition("/")
+        if not self.exists(path) and self.exists(f"{folder}/.{name}.before"):
+            path = f"{folder}/.{name}.before"
         stream = self._fs.open(self._path(path))
         try:
             return json.loads(bytes(self._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)).decode())
@@ -66,9 +85,11 @@ class Files:
             stream.close()
 
     def write(self, path: str, value: Any, replace: bool = True) -> None:
-        """Write JSON beside ``path`` and rename it; without ``replace``, FileExistsError where there is one."""
-        if not replace and self.exists(path):
-            raise FileExistsError(path)
+        """Write JSON beside ``path`` and give it that name; without ``replace``, FileExistsError where there is one.
+
+        On a local disk a file is replaced in one step. Elsewhere it is moved
+        aside first, and ``read`` finds it there until the new one has its name.
+        """
         folder, _, name = path.rpartition("/")
         beside = f"{folder}/.{name}.{uuid.uuid4().hex[:8]}"
         out = self._fs.create(self._path(beside), True)
@@ -76,11 +97,23 @@ class Files:
             out.write(json.dumps(value, indent=2, sort_keys=True).encode())
         finally:
             out.close()
-        if replace and self.exists(path):
-            self.remove(path)
+        if not replace:
+            if publish(self._fs, self._path(beside), self._path(path)):
+                return
+            self.remove(beside)
+            raise FileExistsError(path)
+        if self._fs.getUri().getScheme() == "file":
+            os.replace(self._path(beside).toUri().getPath(), self._path(path).toUri().getPath())
+            self.remove(f"{folder}/.{name}.crc")  # of what was there before
+            return
+        aside = f"{folder}/.{name}.before"
+        if self.exists(path):
+            self.remove(aside)
+            self._fs.rename(self._path(path), self._path(aside))
         if not self._fs.rename(self._path(beside), self._path(path)):
             self.remove(beside)
             raise FileExistsError(path)
+        self.remove(aside)
 
 
 def local_json(path: str, value: Any) -> None:
