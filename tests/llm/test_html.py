@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -63,6 +65,53 @@ def test_on_tables(spark):
     assert H.extract_pages(pages.limit(0)).count() == 0
 
 
+def by_hand(page, surge=H.SURGE, dive=H.DIVE, window=H.WINDOW):
+    """The definition on pages of plain paragraphs, one block at a time."""
+    texts = [t for t in page.replace("</p>", "").split("<p>") if t.strip()]
+    sizes = [len("".join(t.split())) for t in texts]
+    block = [sum(sizes[i : i + window]) for i in range(len(texts))]
+    if not any(b >= surge and (i + 1 == len(block) or any(block[i + 1 : i + window])) for i, b in enumerate(block)):
+        return None  # a short page
+    kept, inside = [], False
+    for i, b in enumerate(block):
+        if not inside and b >= surge and (i + 1 == len(block) or any(block[i + 1 : i + window])):
+            inside = True
+            begin = i
+            while sizes[begin] < dive and sizes[begin] * 4 < max(sizes[begin : begin + window]):
+                begin += 1
+            skip = begin
+        elif inside and b < dive:
+            inside = False
+        if inside and i >= skip:
+            kept.append(" ".join(texts[i].split()))
+    return "\n".join(kept)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_extract_equals_the_definition(seed):
+    """At the thresholds of the query."""
+    rng = np.random.default_rng(seed)
+    page = "".join(f"<p>{' '.join(['ab'] * n)}{'' if rng.random() < 0.5 else '</p>'}" for n in rng.choice([0, 1, 2, 3, 20, 60], rng.integers(2, 60)))
+    want = by_hand(page)
+    assert want is None or H.extract(page) == want
+
+
+BAD = ["<p " * 200_000, "<script " * 100_000, '<p "' * 200_000, "<p ' " * 200_000 + ">", "<div class=ad>" * 50_000, "<!--" * 200_000, '<p class="' * 100_000, "<head>" * 50_000 + "</head>" * 50_000, "<form>" * 30_000 + "</form>" * 30_000, "<" * 1_000_000, "<div class=ad " + "class = " * 100_000 + ">x</div>", "&" * 1_000_000, "\n " * 400_000]
+
+
+def test_time_in_proportion_to_the_length():
+    for page in BAD:
+        began = time.process_time()
+        H.extract(page)
+        assert time.process_time() - began < 15, page[:20]
+
+
+def test_what_is_not_closed_keeps_its_text():
+    assert "river ran past" in H.extract(f"<body><nav><a href=/>Home</a><p>{BODY[0]}") and "river ran past" in H.extract(f"<aside><form><p>{BODY[0]}")
+    assert "river ran past" in H.extract(f"<p>{BODY[0]}</p><p unfinished")
+    assert "nav" not in H.extract(f"<nav><nav>nav</nav> nav <a>x</a></nav><p>{BODY[0]}</p>")
+
+
 def test_short_pages_keep_their_text():
     """Where no window reaches the threshold the page's own greatest block sets it; links alone stay out."""
     page = "<body><nav><a href='/'>Home</a></nav><article><h1>Notice</h1><p>Closed on Monday.</p><p>Open again on Tuesday.</p></article><footer>&copy; us</footer></body>"
