@@ -18,12 +18,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFra
     """At most ``most`` labelled rows ``(doc_id, text, label)``, the same ones on every run.
 
     Rows are taken in the order of a hash of their id. Null ids, texts and
-    labels give no row; an id labelled twice counts with its highest label.
+    labels give no row; an id labelled twice counts with its highest label,
+    and one that several documents have with the least of their texts.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("label"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-    return rows.join(F.broadcast(marks), "doc_id")  # at most `most` rows of two integers
+    found = rows.join(F.broadcast(marks), "doc_id")  # at most `most` rows of two integers
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def fitted(rows: DataFrame, fit: Callable[[list[int], list[str], list[int]], object]) -> object:

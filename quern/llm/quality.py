@@ -9,7 +9,6 @@ rows makes it a probability of being good.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -27,8 +26,6 @@ MAX_LABELLED = 8_000
 THRESHOLD = 0.5
 PIECE = 1024
 DICT_BYTES = 112_640
-#: Pieces per row that the dictionaries are trained on, chosen from the whole text, and bytes per class at which training has enough.
-PIECES, ENOUGH = 2, 6_000_000
 #: (bytes of difference, bytes of text) that every text is given, so that a short one isn't judged on a byte or two.
 PRIOR = (4, 64)
 LEVEL = 3
@@ -77,23 +74,10 @@ class Model:
         return self.calibration(self.scores(texts))
 
 
-def chosen(texts: list[str]) -> list[bytes]:
-    """At most ``PIECES`` pieces of each text, from anywhere in it, the texts in the order of a hash, until there are ``ENOUGH`` bytes."""
-    cut, size = [], 0
-    for mark, text in sorted((zlib.crc32(t.encode("utf-8", "replace")), t) for t in texts):
-        own = pieces(text)
-        for i in np.sort(np.random.default_rng(mark).permutation(len(own))[:PIECES]):
-            cut.append(own[i])
-            size += len(own[i])
-        if size > ENOUGH:
-            break
-    return cut
-
-
 def _dictionary(texts: list[str]) -> bytes:
     import zstandard as Z
 
-    cut = chosen(texts)
+    cut = [p for t in texts for p in pieces(t)]
     try:
         return Z.train_dictionary(DICT_BYTES, cut, k=1024, d=8, level=LEVEL).as_bytes()
     except Z.ZstdError:  # too few rows for the trainer: their bytes serve as they are
@@ -113,12 +97,7 @@ def fit(ids: list[int], texts: list[str], labels: list[int]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
-    """A model fitted on at most ``most`` labelled rows.
-
-    Each class's dictionary is trained on at most ``PIECES`` pieces of about
-    ``PIECE`` bytes of a row, and on rows until these are ``ENOUGH`` bytes;
-    ``chosen`` takes both by a hash. The calibration uses whole texts.
-    """
+    """A model fitted on at most ``most`` labelled rows: dictionaries and calibration from their whole texts."""
     return fitted(sample(docs, labels, "quality", most), fit)
 
 

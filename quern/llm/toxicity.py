@@ -32,7 +32,8 @@ NEAR_CHARS = 40
 FEATURES = ("word_density", "stem_density", "hits", "obfuscated_hits", "near_you", "capitals", "exclamation", "punctuation", "obfuscation", "stretched", "length")
 
 _WORD = re.compile(r"[^\W_]+")
-_OBFUSCATED = re.compile(r"[^\W_]*[^\W\d_][@$!*\d.\-][^\W\d_][\w@$!*.\-]*")
+_RUN = re.compile(r"[\w@$!*.\-]+")
+_HIDDEN = re.compile(r"[^\W\d_][@$!*\d.\-][^\W\d_]")
 _LEET = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t", "*": None, ".": None, "-": None})
 _KIND = np.zeros(256, np.uint8)  # 1 letter (any byte of a longer character too), 2 digit or symbol used for letters
 _KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -61,6 +62,19 @@ def learn_lexicon(texts: list[str], labels: list[int], least: int = 6, precision
     return {w for w in words if not any(w.startswith(s) for s in stems)}, stems
 
 
+def obfuscated(low: str) -> list[str]:
+    """Words with a symbol or digit between two letters, from where their letters begin; one scan of the text."""
+    found = []
+    for run in _RUN.finditer(low):
+        word = run[0]
+        if hidden := _HIDDEN.search(word):
+            begin = hidden.start()
+            while begin and word[begin - 1].isalnum():
+                begin -= 1
+            found.append(word[begin:])
+    return found
+
+
 class Model:
     """Lexicon, trees and calibration; small enough to travel with the tasks."""
 
@@ -102,7 +116,7 @@ class Model:
 
     def _obfuscated_hits(self, low: str) -> int:
         n = 0
-        for w in _OBFUSCATED.findall(low):
+        for w in obfuscated(low):
             w = w.translate(_LEET)
             n += w in self.words or any(w.startswith(s) for s in self.stems)
         return n

@@ -1,4 +1,7 @@
+import math
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -6,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import quality, toxicity
 from quern.llm.boosting import Boosted, Isotonic
-from quern.llm.labelled import representative
+from quern.llm.labelled import representative, sample
 
 WORDS = "the of and".split() + [a + b + c for a in ("ri", "sto", "gar", "win", "mo", "pa") for b in ("ve", "ter", "ne", "la", "sil") for c in ("r", "n", "den", "ming", "ge", "low", "tain")]
 INSULTS = ("blockhead", "nitwit", "dunderhead")
@@ -116,13 +119,89 @@ def test_copies_do_not_train_twice():
     assert representative(["a b c d", "a b c d", "x y z w", ""]) == [0, 2, 3]
 
 
-def test_pieces_come_from_whole_texts_and_all_rows(monkeypatch):
-    """Not only the first and the middle piece, nor the first rows; the same ones on every run."""
-    texts = [f"<{i}>" + "".join(f"{p:04d}" * (quality.PIECE // 4) for p in range(10)) for i in range(300)]
-    cut = quality.chosen(texts)
-    assert len(cut) == 300 * quality.PIECES and cut == quality.chosen(texts[::-1])
-    assert {c[quality.PIECE // 2 :].decode()[i : i + 8] for c in cut for i in range(4)} >= {f"{p:04d}" * 2 for p in range(10)}
-    monkeypatch.setattr(quality, "ENOUGH", 60_000)
-    few = [f"{i:04d} " * 200 for i in range(300)]
-    ids = {int(c[:4]) for c in quality.chosen(few)}
-    assert len(ids) < 100 and max(ids) > 250 and min(ids) < 50
+def test_dictionaries_hold_what_any_place_of_a_long_text_has(monkeypatch):
+    """All pieces of all texts are trained on."""
+    seen = []
+    monkeypatch.setattr("zstandard.train_dictionary", lambda size, cut, **_: seen.append(cut) or type("D", (), {"as_bytes": lambda self: b"".join(cut)[-size:]})())
+    texts = [f"<{i}>" + "".join(f"{p:04d}" * (quality.PIECE // 4) for p in range(9)) for i in range(30)]
+    quality._dictionary(texts)
+    assert b"".join(seen[0]) == "".join(texts).encode()
+
+
+def test_quality_equals_the_definition(quality_model):
+    """Sizes by compressors of one's own, piece by piece."""
+    import zstandard as Z
+
+    for text in [TEST[0][1], "", "x" * 5_000, " ".join(t for _, t, *_ in TEST)]:
+        raw = text.encode()
+        n = max(1, round(len(raw) / quality.PIECE))
+        diff = 0
+        for i in range(n):
+            piece = raw[len(raw) * i // n : len(raw) * (i + 1) // n]
+            good, bad = (len(Z.ZstdCompressor(level=quality.LEVEL, dict_data=Z.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False, write_checksum=False).compress(piece)) for d in quality_model.dicts)
+            diff += bad - good
+        assert abs(quality_model.score(text) - (diff + quality.PRIOR[0]) / (len(raw) + quality.PRIOR[1])) < 1e-12
+
+
+def test_an_id_that_many_documents_have(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "b"), (None, "c"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1)], "doc_id long, quality int")
+    assert sorted(tuple(r) for r in sample(docs, labels, "quality", 10).collect()) == [(1, "text 0", 1), (2, "b", 0)]
+
+
+OLD = re.compile(r"[^\W_]*[^\W\d_][@$!*\d.\-][^\W\d_][\w@$!*.\-]*")
+
+
+def test_obfuscated_words_in_linear_time():
+    rng = random.Random(5)
+    for _ in range(3_000):
+        text = "".join(rng.choice("ab1@_-. é!") for _ in range(14))
+        assert toxicity.obfuscated(text) == OLD.findall(text)
+    began = time.time()
+    for text in ("a1b " + "x" * 1_000_000, "a1b " + "x1" * 500_000, "a@b " + "-" * 1_000_000, "_1_" * 300_000):
+        toxicity.Model({"nitwit"}, {"grobi"}).features(text)
+    assert time.time() - began < 20
+
+
+def naive_features(model, text):
+    """The features as they are defined, by loops over characters."""
+    text = text or ""
+    low, raw = text.lower(), text.encode()
+    alnum = lambda s, i: 0 <= i < len(s) and s[i].isalnum()
+    word = stem = near = 0
+    for lexicon, kind in ((model.words, "word"), (model.stems, "stem")):
+        for w in lexicon:
+            for i in range(len(low)):
+                if low.startswith(w, i) and not alnum(low, i - 1) and (kind == "stem" or not alnum(low, i + len(w))):
+                    word, stem = word + (kind == "word"), stem + (kind == "stem")
+                    around = re.findall(r"[^\W_]+", low[max(0, i - toxicity.NEAR_CHARS) : i + len(w) - 1 + toxicity.NEAR_CHARS])
+                    near += any(x in toxicity.SECOND_PERSON for x in around)
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    symbol = lambda b: b in b"@$!*013457"
+    three = list(zip(raw, raw[1:], raw[2:]))
+    odd = sum(letter(a) and symbol(b) and letter(c) for a, b, c in three)
+    hidden = [w.translate(toxicity._LEET) for w in OLD.findall(low)] if odd else []
+    words = sum(b == 32 or 9 <= b <= 13 for b in raw) + 1
+    found = sum(w in model.words or any(w.startswith(s) for s in model.stems) for w in hidden)
+    return [
+        word / words, stem / words, math.log1p(word + stem), math.log1p(found), near / max(1, word + stem), sum(65 <= b <= 90 for b in raw) / max(1, sum(map(letter, raw))),
+        raw.count(b"!") / words, sum(b in toxicity._PUNCT for b in raw) / max(1, len(raw)), odd / words, sum(a == b == c and letter(b) for a, b, c in three) / words, math.log1p(words),
+    ]
+
+
+def test_toxicity_equals_the_definition(toxic_model):
+    """Features by loops over characters, trees walked node by node, calibration by its steps."""
+    texts = [t for _, t, *_ in TEST[:60]] + ["", None, "You n1twit!!! grobian, BLOCK-HEAD soooo $tupid", "é!é @a1a"]
+    x = [naive_features(toxic_model, t) for t in texts]
+    assert np.allclose(toxic_model.matrix(texts), x)
+    for row, text in zip(x, texts):
+        margin = toxic_model.trees.bias
+        for feature, cut, value in toxic_model.trees.trees:
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + (row[feature[node]] > cut[node])
+            margin += value[node - len(feature)]
+        at, p = toxic_model.calibration.x, toxic_model.calibration.p
+        k = sum(a <= margin for a in at)
+        want = p[0] if k == 0 else p[-1] if k == len(at) else p[k - 1] + (p[k] - p[k - 1]) * (margin - at[k - 1]) / (at[k] - at[k - 1])
+        assert abs(toxic_model.probability([text])[0] - want) < 1e-9
