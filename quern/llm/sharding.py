@@ -13,15 +13,18 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quern.llm.common import fresh, importable, new_dir, remove, table
+from quern.sources.storage import publish
 
 
 @dataclass(frozen=True)
@@ -31,10 +34,26 @@ class Shard:
     arrival: int  # of a merged one, the latest in it
 
 
+#: Seconds for which a file that no manifest names is kept: it may belong to a change that isn't committed yet.
+GRACE = 24 * 3600
+
+
 class Conflict(RuntimeError):
     """Another writer has committed this version."""
 
 
+def unified(old: str | None, new: str) -> str:
+    """The schema of both: columns that one lacks are null in its rows. ValueError where a column's types differ."""
+    if old is None:
+        return new
+    fields = {f.name.lower(): f for f in StructType.fromJson(json.loads(old)).fields}
+    for f in StructType.fromJson(json.loads(new)).fields:
+        own = fields.setdefault(f.name.lower(), f)
+        if own.dataType != f.dataType:
+            raise ValueError(f"column {f.name} is {own.dataType.simpleString()} and can't be {f.dataType.simpleString()}")
+    return StructType([StructField(f.name, f.dataType, True) for f in fields.values()]).json()
+
+
 def tier(size: int, base: int, fanout: int) -> int:
     return 0 if size <= base else int(math.log(size / base, fanout))
 
@@ -103,11 +122,22 @@ class ShardStore:
             out.write(text.encode())
         finally:
             out.close()
-        if self._fs.exists(to) or not self._fs.rename(temporary, to):
+        if not publish(self._fs, temporary, to):
             self._fs.delete(temporary, False)
             raise Conflict(f"version {version} exists")
         return version
 
+    def _change(self, change: Callable[[list[Shard], str | None], list[tuple[list[Shard], str | None]]]) -> int:
+        """Commit the versions that ``change`` makes of the newest one; once more, on the newer one, if another writer was faster."""
+        while True:
+            version, shards, schema = self.manifest()
+            try:
+                for shards, schema in change(shards, schema):
+                    version = self.commit(version + 1, shards, schema)
+                return version
+            except Conflict:
+                continue
+
     def _written(self, folder: str) -> list[tuple[str, int]]:
         found, files = [], self._fs.listFiles(self._path(folder), True)
         while files.hasNext():
@@ -122,10 +152,13 @@ class ShardStore:
         With ``arrival``, a column of small whole numbers that isn't stored,
         each of its values is an arrival of its own, committed in their order,
         and all are written in one pass. Rows without any value come first.
+        Columns may be added or missing; ValueError where a column has another
+        type than before. Several writers may append and compact at a time.
         """
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         kept = [c for c in rows.columns if c != arrival]
         schema = rows.select(*[f"`{c}`" for c in kept]).schema.json()
+        unified(self.manifest()[2], schema)  # before anything is written
         if arrival is None:
             rows.write.parquet(folder)
             portions = {0: self._written(folder)}
@@ -135,15 +168,28 @@ class ShardStore:
             portions = {}
             for path, size in self._written(folder):
                 portions.setdefault(int(path.rsplit("=", 1)[1].split("/")[0]), []).append((path, size))
-        version, shards, old = self.manifest()
-        for _, files in sorted(portions.items()):
-            latest = max((s.arrival for s in shards), default=0) + 1
-            shards = shards + [Shard(p, n, latest) for p, n in files]
-            version = self.commit(version + 1, shards, schema)
-        return version if portions else self.commit(version + 1, shards, old or schema)
+        left = sorted(portions.items())
+
+        def change(shards: list[Shard], old: str | None) -> Iterator[tuple[list[Shard], str | None]]:
+            kind = unified(old, schema)
+            if not left:
+                yield shards, kind
+            while left:
+                latest = max((s.arrival for s in shards), default=0) + 1
+                shards = shards + [Shard(p, n, latest) for p, n in left[0][1]]
+                yield shards, kind
+                left.pop(0)  # it is committed
+
+        return self._change(change)
 
     def compact(self) -> int:
-        """Merge round by round until no tier has enough shards; returns the version."""
+        """Merge round by round until no tier has enough shards; returns the version.
+
+        A merged file takes the place of its shards only where all of them are
+        still there: of two compactions of the same shards one counts.
+        """
+        from pyspark.sql.pandas.types import to_arrow_schema
+
         while True:
             version, shards, schema = self.manifest()
             groups = plan(shards, self.target, self.base, self.fanout)
@@ -151,28 +197,34 @@ class ShardStore:
                 return version
             folder = f"{self.root}/data/{uuid.uuid4().hex}"
             self._fs.mkdirs(self._path(folder))
-            jobs = self.spark.createDataFrame([(i, [s.path for s in g], folder) for i, g in enumerate(groups)], "id int, paths array<string>, folder string")
+            kind = to_arrow_schema(StructType.fromJson(json.loads(schema))).serialize().to_pybytes()
+            jobs = self.spark.createDataFrame([(i, [s.path for s in g], folder, kind) for i, g in enumerate(groups)], "id int, paths array<string>, folder string, kind binary")
             made = jobs.repartition(len(groups), "id").mapInPandas(_merge, "id int, path string, bytes bigint").collect()  # one row a file
-            gone = {s.path for g in groups for s in g}
-            # Shards that were appended meanwhile stay.
-            version, now, schema = self.manifest()
-            merged = [Shard(r["path"], r["bytes"], max(s.arrival for s in groups[r["id"]])) for r in sorted(made)]
-            self.commit(version + 1, [s for s in now if s.path not in gone] + merged, schema)
-
-    def vacuum(self, keep: int = 1) -> int:
-        """Remove manifests but the last ``keep``, and files that no kept one names; returns how many files."""
+
+            def change(now: list[Shard], schema: str | None) -> list[tuple[list[Shard], str | None]]:
+                there = {s.path for s in now}
+                whole = [r for r in sorted(made) if all(s.path in there for s in groups[r["id"]])]
+                gone = {s.path for r in whole for s in groups[r["id"]]}
+                merged = [Shard(r["path"], r["bytes"], max(s.arrival for s in groups[r["id"]])) for r in whole]
+                return [([s for s in now if s.path not in gone] + merged, schema)] if whole else []
+
+            self._change(change)
+
+    def vacuum(self, keep: int = 1, grace: float = GRACE) -> int:
+        """Remove manifests but the last ``keep``, and files older than ``grace`` seconds that no kept one names; returns how many files."""
         have = self.versions()
         named = {s.path for v in have[-keep:] for s in self.manifest(v)[1]}
         for v in have[:-keep]:
             self._fs.delete(self._path(f"{self.root}/manifests/v{v:010d}.json"), False)
-        gone = [p for p, _ in self._written(f"{self.root}/data") if p not in named] if self._fs.exists(self._path(f"{self.root}/data")) else []
+        latest = (time.time() - grace) * 1000
+        gone = []
+        if self._fs.exists(self._path(f"{self.root}/data")):
+            gone = [p for p, _ in self._written(f"{self.root}/data") if p not in named and self._fs.getFileStatus(self._path(p)).getModificationTime() <= latest]
         remove(self.spark, *gone)
         return len(gone)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, from the files that its manifest names."""
-        from pyspark.sql.types import StructType
-
         _, shards, schema = self.manifest(version)
         if schema is None:
             raise ValueError("nothing has been appended")
@@ -183,22 +235,25 @@ class ShardStore:
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pyarrow.fs
+    import pyarrow as pa
     import pyarrow.parquet as pq
 
+    def fitted(rows: pa.RecordBatch, kind: pa.Schema) -> pa.RecordBatch:
+        at = {n.lower(): i for i, n in enumerate(rows.schema.names)}
+        own = [rows.column(at[f.name.lower()]).cast(f.type) if f.name.lower() in at else pa.nulls(rows.num_rows, f.type) for f in kind]
+        return pa.RecordBatch.from_arrays(own, schema=kind)
+
     for b in batches:
-        for id_, paths, folder in zip(b["id"], b["paths"], b["folder"]):
+        for id_, paths, folder, kind in zip(b["id"], b["paths"], b["folder"], b["kind"]):
+            kind = pa.schema([f.with_nullable(True) for f in pa.ipc.read_schema(pa.py_buffer(kind))])
             out = f"{folder}/part-{id_:05d}-{uuid.uuid4().hex}.parquet"
             fs, to = _open(out)
-            writer = None
-            for p in paths:
-                own, at = _open(p)
-                with own.open_input_file(at) as f, pq.ParquetFile(f) as source:
-                    for rows in source.iter_batches(batch_size=2048):
-                        writer = writer or pq.ParquetWriter(to, rows.schema, filesystem=fs, compression="zstd")
-                        writer.write_batch(rows, row_group_size=16384)
-                    writer = writer or pq.ParquetWriter(to, source.schema_arrow, filesystem=fs, compression="zstd")
-            writer.close()
+            with pq.ParquetWriter(to, kind, filesystem=fs, compression="zstd") as writer:
+                for p in paths:
+                    own, at = _open(p)
+                    with own.open_input_file(at) as f, pq.ParquetFile(f, coerce_int96_timestamp_unit="us") as source:
+                        for rows in source.iter_batches(batch_size=2048):
+                            writer.write_batch(fitted(rows, kind), row_group_size=16384)
             yield pd.DataFrame({"id": [id_], "path": [out], "bytes": [fs.get_file_info(to).size]})
 
 
@@ -225,7 +280,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     (arrival,) = fresh(docs, "arrival")
     store.append(docs.withColumn(arrival, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))), arrival)
     store.compact()
-    store.vacuum()
+    store.vacuum(grace=0)  # nobody else writes to this folder
     return store.read()
 
 
