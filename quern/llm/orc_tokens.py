@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.bpe import PATTERN, VOCABULARY
+from quern.llm.bpe import PATTERN, VOCABULARY, encoder_of
 from quern.llm.common import importable, new_dir, table
 
 SCHEMA = "doc_id bigint, n_tokens bigint, tokens array<int>"
@@ -35,13 +35,25 @@ def _encoding(path: str):
 
 
 def tokenised(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """``(doc_id, n_tokens, tokens)`` of every row; a null text has no tokens."""
+    """``(doc_id, n_tokens, tokens)`` of every row; a null text has no tokens.
+
+    A text that the library can't cut into pieces (it gives up on a million
+    blanks in a row) is encoded by operator 7, whose tokens are the same.
+    """
     importable(docs.sparkSession)
 
+    def tokens(encode, text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.uint32)
+        try:
+            return encode(text)
+        except ValueError:
+            return encoder_of(path).encode(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(path).encode_to_numpy
         for b in batches:
-            own = [encode(t) if t else np.zeros(0, np.uint32) for t in b.column(1).to_pylist()]
+            own = [tokens(encode, t) for t in b.column(1).to_pylist()]
             size = np.array([len(x) for x in own], np.int64)
             flat = np.concatenate([*own, np.zeros(0, np.uint32)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
