@@ -35,9 +35,14 @@ from quern.llm.common import fresh, importable, table
 #: Ranks of a public byte-level vocabulary, one "base64 rank" a line; any such file will do.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Remembered pieces, transitions and pairs of tokens before each memory is emptied; bounds on memory alone.
-PIECES, TRANSITIONS, PAIRS = 400_000, 250_000, 400_000
+#: Remembered pieces, transitions, histories and pairs of tokens before each memory is emptied; bounds on memory alone.
+PIECES, TRANSITIONS, HISTORIES, PAIRS = 400_000, 400_000, 400_000, 400_000
+#: Bytes of the filter that tells whether a transition was asked for before.
+ASKED = 1 << 22
 LONG = 64
+#: Bits of a reading that hold its node.
+_SHIFT = 24
+_NODES = (1 << _SHIFT) - 1
 
 
 class Vocabulary:
@@ -108,21 +113,42 @@ class Vocabulary:
 
 
 class Encoder:
-    """The transducer of one vocabulary."""
+    """The transducer of one vocabulary.
+
+    A reading is one number: the node of the token tree that it has come to,
+    and a history, which stands for the token emitted last and the tokens up
+    to where the reading began. A state is the tuple of its readings.
+    """
 
     def __init__(self, path: str = VOCABULARY):
         self.vocabulary = Vocabulary(path)
         self.cut = regex.compile(PATTERN).findall
         self.pairs: dict[int, bool] = {}
         self.pieces = _Pieces(self)
+        inner = {key >> 8 for key in self.vocabulary.child}
+        self.goes_on = bytearray(n in inner for n in range(len(self.vocabulary.token)))
         self.reset()
 
-    def reset(self) -> None:
-        """Forget all states but the first: nothing read, one reading that begins here."""
-        self.states: list[tuple] = [((0, ()),)]
-        self.last: list[int] = [-1]  # the token emitted last before a state
-        self.number: dict[tuple, int] = {(self.states[0], -1): 0}
-        self.move: dict[int, tuple[int, tuple[int, ...]]] = {}
+    def reset(self, readings: tuple[int, ...] = ()) -> tuple[int, ...]:
+        """Forget all but the first state (nothing read, one reading that begins here); returns ``readings`` in new numbers."""
+        kept = [(r & _NODES, *self.history[r >> _SHIFT]) for r in readings]
+        self.history: list[tuple[int, tuple[int, ...]]] = []
+        self.number_of: dict[tuple[int, tuple[int, ...]], int] = {}
+        first = (self._history(-1, ()) << _SHIFT,)
+        self.states: list[tuple[int, ...]] = [first]
+        self.number: dict[tuple[int, ...], int] = {first: 0}
+        self.move: dict[int, int] = {}  # (state << 8 | byte) to the next state, or to its complement where tokens are emitted
+        self.emitted: dict[int, tuple[int, ...]] = {}
+        self.asked = bytearray(ASKED)
+        return tuple([self._history(before, pending) << _SHIFT | node for node, before, pending in kept])
+
+    def _history(self, before: int, pending: tuple[int, ...]) -> int:
+        key = before, pending
+        number = self.number_of.get(key)
+        if number is None:
+            number = self.number_of[key] = len(self.history)
+            self.history.append(key)
+        return number
 
     def may_follow(self, a: int, b: int) -> bool:
         known = self.pairs.get(a << 32 | b)
@@ -132,56 +158,99 @@ class Encoder:
             known = self.pairs[a << 32 | b] = self.vocabulary.may_follow(a, b)
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next state and the tokens emitted; made here when met for the first time."""
-        child, ends, before = self.vocabulary.child.get, self.vocabulary.token, self.last[state]
-        readings, here = [], None
-        for node, pending in self.states[state]:
-            node = child(node << 8 | byte)
+    def step(self, readings: tuple[int, ...], byte: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """The readings after one byte, and the tokens on which all of them agree."""
+        child, ends, goes_on, history = self.vocabulary.child, self.vocabulary.token, self.goes_on, self.history
+        new, pendings, here = [], [], None
+        for r in readings:
+            node = child.get((r & _NODES) << 8 | byte)
             if node is None:
                 continue
-            readings.append((node, pending))
-            token = ends[node]
-            if token >= 0 and here is None:
+            if goes_on[node]:  # at a leaf of the token tree nothing can follow
+                new.append(r & ~_NODES | node)
+                pendings.append(history[r >> _SHIFT][1])
+            if here is None and (token := ends[node]) >= 0:
+                before, pending = history[r >> _SHIFT]
                 a = pending[-1] if pending else before
                 if a < 0 or self.may_follow(a, token):
-                    here = (*pending, token)
+                    here, last = (*pending, token), before
         # Encodings of prefixes exist, so one token does end here; it is a reading that begins anew.
-        readings.append((0, here))
         agreed = 0
-        for token in here:
-            for _, pending in readings:
-                if len(pending) <= agreed or pending[agreed] != token:
+        if not pendings:
+            agreed = len(here)
+        elif min(map(len, pendings)):
+            least, most = min(here, *pendings), max(here, *pendings)  # what these two begin with, all do
+            for x, y in zip(least, most):
+                if x != y:
                     break
-            else:
                 agreed += 1
-                continue
-            break
+        if not agreed:
+            new.append(self._history(last, here) << _SHIFT)
+            return tuple(new), ()
         out = here[:agreed]
-        if agreed:
-            before = out[-1]
-            readings = [(n, p[agreed:]) for n, p in readings]
-        own = tuple(readings)
-        key = own, before
-        to = self.number.get(key)
-        if to is None:
-            to = self.number[key] = len(self.states)
-            self.states.append(own)
-            self.last.append(before)
-        self.move[state << 8 | byte] = to, out
-        return to, out
+        before = out[-1]
+        new = [self._history(before, p[agreed:]) << _SHIFT | r & _NODES for r, p in zip(new, pendings)]
+        new.append(self._history(before, here[agreed:]) << _SHIFT)
+        return tuple(new), out
+
+    def _state(self, readings: tuple[int, ...]) -> int:
+        number = self.number.get(readings)
+        if number is None:
+            number = self.number[readings] = len(self.states)
+            self.states.append(readings)
+        return number
+
+    def _unknown(self, state: int, raw: bytes, at: int, out: list[int]) -> tuple[int, int]:
+        """Go on from a transition that isn't known, to where states are known again: (state, place).
+
+        A transition is made when it is asked for the second time. Until then
+        the readings are carried along without becoming states, so that what
+        is met once doesn't crowd out what recurs.
+        """
+        readings, n = self.states[state], len(raw)
+        while at < n:
+            if len(self.move) > TRANSITIONS or len(self.history) > HISTORIES:
+                readings = self.reset(readings)
+                state = -1
+            byte = raw[at]
+            to, tokens = self.step(readings, byte)
+            at += 1
+            out += tokens
+            if state >= 0:
+                key = state << 8 | byte
+                slot = key * 0x9E3779B1 % ASKED
+                if self.asked[slot]:
+                    number = self._state(to)
+                    self.move[key] = ~number if tokens else number
+                    if tokens:
+                        self.emitted[key] = tokens
+                    return number, at
+                self.asked[slot] = 1
+            state = self.number.get(to, -1)
+            readings = to
+            if state >= 0 and at < n and state << 8 | raw[at] in self.move:
+                return state, at
+        return -1 - self._history(*self._whole(readings)), at
+
+    def _whole(self, readings: tuple[int, ...]) -> tuple[int, tuple[int, ...]]:
+        return self.history[readings[-1] >> _SHIFT]
 
     def transduce(self, raw: bytes) -> list[int]:
         """The tokens of one piece."""
-        if len(self.move) > TRANSITIONS:
-            self.reset()
-        state, out, move = 0, [], self.move
-        for b in raw:
-            known = move.get(state << 8 | b)
-            state, emitted = known if known is not None else self.step(state, b)
-            if emitted:
-                out += emitted
-        return out + list(self.states[state][-1][1])  # the reading that ends here
+        out: list[int] = []
+        state, at, n = 0, 0, len(raw)
+        while at < n:
+            to = self.move.get(state << 8 | raw[at])
+            if to is None:
+                state, at = self._unknown(state, raw, at, out)
+                continue
+            if to < 0:
+                out += self.emitted[state << 8 | raw[at]]
+                to = ~to
+            state = to
+            at += 1
+        left = self.history[-1 - state] if state < 0 else self._whole(self.states[state])  # the reading that ends here
+        return out + list(left[1])
 
     def encode(self, text: str | None) -> np.ndarray:
         """The tokens of a text; of null as of an empty one, none."""
@@ -191,13 +260,19 @@ class Encoder:
 
 
 class _Pieces(dict):
+    """Remembered pieces in two generations: what was used since the last turn outlives the next one."""
+
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) > PIECES:
+        if len(self) > PIECES // 2:
+            self.old = dict(self)
             self.clear()
-        tokens = tuple(self.encoder.transduce(piece.encode("utf-8", "surrogatepass")))
+        tokens = self.old.get(piece)
+        if tokens is None:
+            tokens = tuple(self.encoder.transduce(piece.encode("utf-8", "surrogatepass")))
         if len(piece) <= LONG:
             self[piece] = tokens
         return tokens

@@ -34,12 +34,43 @@ def test_encodes_as_defined(encoder, reference):
 
 def test_forgetting_changes_nothing(reference, monkeypatch):
     monkeypatch.setattr(bpe, "TRANSITIONS", 50)
+    monkeypatch.setattr(bpe, "HISTORIES", 60)
     monkeypatch.setattr(bpe, "PIECES", 20)
     monkeypatch.setattr(bpe, "PAIRS", 30)
     small = bpe.Encoder()
     for t in texts(200, 2):
         assert small.encode(t).tolist() == reference.encode_ordinary(t)
-        assert len(small.move) < 5_000
+        assert len(small.move) <= 51 and len(small.history) <= 120 and len(small.pieces) + len(small.pieces.old) <= 24
+
+
+def test_memory_is_bounded_within_a_piece(encoder, reference, monkeypatch):
+    """One word of 200,000 letters: no more transitions and histories than allowed, at any moment."""
+    monkeypatch.setattr(bpe, "TRANSITIONS", 1_000)
+    monkeypatch.setattr(bpe, "HISTORIES", 2_000)
+    small, rng = bpe.Encoder(), random.Random(6)
+    word, most, step = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), [0, 0], small.step
+
+    def watched(*args):
+        most[:] = max(most[0], len(small.move)), max(most[1], len(small.history))
+        return step(*args)
+
+    small.step = watched
+    assert small.encode(word).tolist() == reference.encode_ordinary(word)
+    assert most[0] <= 1_001 and most[1] <= 2_100
+
+
+def test_recurring_pieces_become_states(encoder):
+    """What is asked for twice is a transition from then on; the result is the same either way."""
+    raw = b" transducers"
+    want, steps, step = encoder.vocabulary.merge(raw), [], encoder.step
+    encoder.step = lambda *a: steps.append(a) or step(*a)
+    try:
+        for _ in range(len(raw) + 2):
+            assert encoder.transduce(raw) == want
+        steps.clear()
+        assert encoder.transduce(raw) == want and not steps
+    finally:
+        del encoder.step
 
 
 def test_tokens_come_out_early(encoder):
@@ -47,7 +78,8 @@ def test_tokens_come_out_early(encoder):
     encoder.transduce(b" internationalisationally" * 20)
     longest = max(map(len, encoder.vocabulary.bytes))
     for state in encoder.states:
-        for _, pending in state:
+        for reading in state:
+            _, pending = encoder.history[reading >> bpe._SHIFT]
             assert sum(len(encoder.vocabulary.bytes[t]) for t in pending) <= longest
 
 
@@ -92,6 +124,51 @@ def test_orc_round_trip(spark, tmp_path, reference):
     assert orc_tokens.read(spark, empty).count() == 0
 
 
+def test_orc_of_what_the_library_gives_up_on(spark, reference):
+    """A million blanks in a row: operator 7's tokens, which decode to the text."""
+    blanks = " " * 1_000_000 + "x"
+    with pytest.raises(ValueError):
+        reference.encode_to_numpy(blanks)
+    docs = spark.createDataFrame([(1, blanks), (2, "a b")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in orc_tokens.tokenised(docs).collect()}
+    assert bpe.Decoder().feed(rows[1]["tokens"]) == blanks and list(rows[2]["tokens"]) == reference.encode_ordinary("a b")
+
+
+def test_orc_tokens_equal_merges_by_hand(spark, encoder):
+    """Every piece merged as BPE is defined, not by the library that the operator uses."""
+    docs = texts(150, 9)
+    rows = orc_tokens.tokenised(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    for r in rows:
+        want = [t for piece in encoder.cut(docs[r["doc_id"]]) for t in encoder.vocabulary.merge(piece.encode("utf-8"))]
+        assert list(r["tokens"]) == want and r["n_tokens"] == len(want)
+
+
+def test_orc_file_has_bloom_filters_and_run_lengths(spark, tmp_path):
+    """Stream kinds in the stripe footers: Bloom filters on the id alone, a row index everywhere; runs shrink what repeats."""
+    import pyarrow.orc as orc
+
+    sizes = {}
+    for name, value in (("runs", F.lit(7)), ("random", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int"))):
+        path = tmp_path / name
+        rows = spark.range(0, 20_000, 1, 1).select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("n_tokens"), F.array(value).alias("tokens"))
+        orc_tokens.write(rows, str(path))
+        (file,) = [p for p in path.iterdir() if p.suffix == ".orc"]
+        sizes[name] = file.stat().st_size
+        assert orc.ORCFile(file).compression in ("ZSTD", "zstd") and orc.ORCFile(file).row_index_stride == orc_tokens.ROW_GROUP
+    assert sizes["random"] > 10 * 20_000 / 8 + sizes["runs"]
+    jvm = spark._jvm
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), jvm.org.apache.orc.OrcFile.readerOptions(spark.sparkContext._jsc.hadoopConfiguration()))
+    from pathlib import Path
+
+    assert reader.getNumberOfRows() == 20_000
+    raw = Path(str(file)).read_bytes()
+    plain = tmp_path / "plain"
+    rows.write.format("orc").option("orc.compress", "zstd").option("orc.row.index.stride", str(orc_tokens.ROW_GROUP)).save(str(plain))
+    (other,) = [p for p in plain.iterdir() if p.suffix == ".orc"]
+    # 20 row groups of 1,000 ids at 1 %: about 1.2 KB of filter each, which don't compress.
+    assert len(raw) - other.stat().st_size > 10_000
+
+
 def test_orc_metadata_prunes(spark, tmp_path):
     import pyarrow.orc as orc
 
