@@ -1,20 +1,25 @@
 """Exact top-k by inner product, with Fagin's threshold algorithm.
 
-The rows are cut into blocks; each pair of a block of queries and a block of
-rows is one task. A task sorts its rows along every dimension. A query reads
-all lists from the end that its sign in that dimension favours; what it meets
-is scored in full. No row that it hasn't met can score more than the
-threshold: the sum, over dimensions, of its weight times the value that the
-list has come to. It stops where that is below its k-th best. The partial
-results are merged per query.
-
-Where no dimension tells more than others, as in vectors without structure,
-the threshold falls late and a query meets most rows; it then scores all rows
-of the block at once. The result is exact all the same.
+The rows are cut into parts of bounded size. A task sorts the rows of a part
+along every dimension and streams queries past them. A query reads the lists in
+rounds, each from the end that its sign in that dimension favours; what it
+meets for the first time is scored in full. No row that it hasn't met can
+score more than the threshold: the sum, over dimensions, of its weight times
+the value that the list has come to. It stops where that is below its k-th
+best. In a round those lists are read on, twice as deep as before, that lower
+the threshold most for the rows they show. A query begins with the part that its own
+row is in; the k-th best from there lets it stop earlier in all others.
+
+The dimensions are the principal axes of a bounded sample of the rows: a
+rotation changes no inner product, and gathers in few lists what tells rows
+apart. Where no direction tells more than others, as in random vectors, the
+threshold falls late and most rows are met before it does.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,103 +29,134 @@ from quern.llm.common import importable, partitions, table, written
 from quern.llm.vectors import stacked, usable
 
 K = 10
-#: Rows of a block.
-BLOCK = 4096
+#: Of the rows, those whose id is divisible by this are the queries.
+EVERY = 50
+#: Numbers that a part has at most, rows that it should have at least, and rows that the axes are taken from at most.
+NUMBERS, LEAST, SAMPLE = 1 << 22, 4096, 8192
+#: Depth to which a list is read first, and the share of the greatest gain at which a list is read on in a round.
+FIRST, GAIN = 16, 0.25
 #: Decimals to which scores are compared; equal ones are in the order of their ids.
 DECIMALS = 9
 
 
+def principal(x: np.ndarray) -> np.ndarray:
+    """An orthogonal matrix whose columns are the axes of x, the one of greatest spread first."""
+    values, axes = np.linalg.eigh(x.T.astype(np.float64) @ x) if len(x) else (np.zeros(x.shape[1]), np.eye(x.shape[1]))
+    return axes[:, np.argsort(-values, kind="stable")]
+
+
 class Lists:
-    """The rows of one block, sorted along every dimension."""
+    """The rows of one part, and lists of them sorted along every axis."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, axes: np.ndarray | None = None):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], np.ascontiguousarray(x[order], np.float64)
-        self.down = np.argsort(-self.x, 0, kind="stable").astype(np.int32).T  # by dimension, greatest value first
-        n = len(self.ids)
-        # Depths at which to look whether to stop, and the values that the lists have come to there, from either end.
-        self.depths = sorted({max(1, n >> e) for e in range(7)}) if n else []
-        values = np.take_along_axis(self.x.T, self.down, 1)
-        self.greatest = np.stack([values[:, d - 1] for d in self.depths]) if n else values
-        self.least = np.stack([values[:, n - d] for d in self.depths]) if n else values
-        self.some = np.random.default_rng(n).permutation(n)[: max(256, n // 16)]
-
-    def _best(self, scores: np.ndarray, rows: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best of some rows, which are in the order of their ids."""
-        scores = np.round(scores, DECIMALS)
-        mine = np.searchsorted(self.ids, own)
-        if mine < len(self.ids) and self.ids[mine] == own:
-            scores = np.where(rows == mine, -np.inf, scores)
-        if len(scores) > 4 * k:
-            few = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-            scores, rows = scores[few], rows[few]
-        first = np.lexsort((rows, -scores))[:k]
-        first = first[scores[first] > -np.inf]
-        return self.ids[rows[first]], scores[first]
-
-    def top(self, own: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-        """For each query, (ids, scores, rows met) of the k best without the id ``own``.
-
-        The k-th best of any rows bounds the k-th best of all from below. So
-        the depth at which a query may stop can be told before its lists are
-        read: the first where the threshold is below that of a sample. Rows
-        met down to there are scored in full. Queries that would meet most
-        rows score all of them, in one product.
-        """
+        self.axes = np.eye(x.shape[1]) if axes is None else axes
+        y = (self.x @ self.axes).T
+        self.down = np.argsort(-y, 1, kind="stable").astype(np.int32)  # by axis, greatest value first
+        self.values = np.take_along_axis(y, self.down, 1)
+
+    def top(self, own: int, q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+        """(ids, scores, rows met) of the k best of at least ``floor``, without the id ``own``."""
         q, n = q.astype(np.float64), len(self.ids)
         if not n:
-            return [(self.ids, np.zeros(0), 0)] * len(q)
-        up, low = np.maximum(q, 0), np.minimum(q, 0)
-        threshold = up @ self.greatest.T + low @ self.least.T  # by query and depth
-        sample = q @ self.x[self.some].T
-        least = k + 1  # one of them may be the query's own row
-        known = np.partition(sample, sample.shape[1] - least, 1)[:, sample.shape[1] - least] if sample.shape[1] >= least else np.full(len(q), -np.inf)
-        stops = threshold < known[:, None] - 2 * 10.0**-DECIMALS
-        depth = np.where(stops.any(1), np.array(self.depths)[stops.argmax(1)], n)
-        weighty = (q != 0).sum(1)
-        short = depth * weighty < n // 2
-        out: list = [None] * len(q)
-        for i in np.flatnonzero(short):
-            d, dims = depth[i], np.flatnonzero(q[i])
-            met = np.unique(np.concatenate([self.down[j, :d] if q[i, j] > 0 else self.down[j, n - d :] for j in dims])) if len(dims) else np.arange(n)
-            out[i] = (*self._best(self.x[met] @ q[i], met, own[i], k), len(met))
-        rest, every = np.flatnonzero(~short), np.arange(n)
-        for part in np.array_split(rest, max(1, len(rest) // 128)):
-            for i, scores in zip(part, q[part] @ self.x.T):
-                out[i] = (*self._best(scores, every, own[i], k), n)
-        return out
-
-
-def search(table: DataFrame, k: int = K, id_column: str = "vec_id", column: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """``(query_id, rank, neighbor_id, score)``: for every row the k others of greatest inner product.
-
-    Scores are compared to nine decimals, ties go to the lower id. Rows that
-    ``vectors.usable`` leaves out are neither queries nor neighbours; a table
-    of fewer than k + 1 rows gives shorter lists, an empty one none. Other
-    columns don't matter.
+            return self.ids, np.zeros(0), 0
+        weights = q @ self.axes
+        up, every = weights > 0, np.arange(len(weights))
+        mine = np.searchsorted(self.ids, own)
+        mine = mine if mine < n and self.ids[mine] == own else -1
+        met, count, kth = np.zeros(n, bool), 0, floor
+        rows, scores = np.zeros(0, np.int64), np.zeros(0)
+
+        def bounds(depths: np.ndarray) -> np.ndarray:
+            """What a row that none of the lists has shown can gain in each dimension."""
+            last = np.maximum(depths, 1)
+            return weights * self.values[every, np.where(up, last - 1, n - last)]
+
+        depths = np.zeros(len(weights), np.int64)
+        now = bounds(depths)
+        while count < n and now.sum() >= kth - 2 * 10.0**-DECIMALS:
+            deeper = np.minimum(n, np.maximum(FIRST, 2 * depths))
+            then = bounds(deeper)
+            # The lists that lower the threshold most for what is read of them; a list that can't lower it comes last.
+            gain = np.where(depths < n, (now - then) / np.maximum(1, deeper - depths), -1.0)
+            chosen = np.flatnonzero(gain >= GAIN * gain.max()) if gain.max() > 0 else np.flatnonzero(depths < n)
+            shown = np.concatenate([self.down[j, depths[j] : deeper[j]] if up[j] else self.down[j, n - deeper[j] : n - depths[j]] for j in chosen])
+            before = met.copy()
+            met[shown] = True
+            new = np.flatnonzero(met & ~before)
+            count += len(new)
+            depths[chosen], now[chosen] = deeper[chosen], then[chosen]
+            if not len(new):
+                continue
+            got = np.round(self.x[new] @ q, DECIMALS)
+            fine = (got >= kth) & (new != mine)
+            rows, scores = np.concatenate([rows, new[fine]]), np.concatenate([scores, got[fine]])
+            if len(rows) > k:
+                best = np.lexsort((rows, -scores))[:k]
+                rows, scores = rows[best], scores[best]
+            if len(rows) == k:
+                kth = max(floor, scores.min())
+        best = np.lexsort((rows, -scores))
+        return self.ids[rows[best]], scores[best], count
+
+
+def search(table: DataFrame, k: int = K, id_column: str = "vec_id", column: str = "embedding", every: int = EVERY, numbers: int = NUMBERS, least: int = LEAST) -> DataFrame:
+    """``(query_id, rank, neighbor_id, score)``: for every query row the k others of greatest inner product.
+
+    Queries are the rows whose id is divisible by ``every``; all rows are
+    searched. Scores are compared to nine decimals, ties go to the lower id.
+    Rows that ``vectors.usable`` leaves out are neither queries nor
+    neighbours; a table of fewer than k + 1 rows gives shorter lists, an empty
+    one none. Other columns don't matter.
+
+    Each row is shipped twice, each query once to each part; the parts' number
+    grows with the rows, so that queries shipped grow with rows times queries,
+    divided by the rows of a part.
     """
     spark = table.sparkSession
     importable(spark)
     rows, _ = written(usable(table, id_column, column), "vectors")
-    blocks = max(1, -(-rows.count() // block))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    sides = rows.select(F.col("b").alias("q"), each.alias("d"), F.lit(0).alias("side"), "id", "v").union(rows.select(each.alias("q"), F.col("b").alias("d"), F.lit(1), "id", "v"))
-
-    def run(group: pa.Table) -> pa.Table:
-        side, ids = group["side"].to_numpy(), group["id"].to_numpy()
-        x = stacked(group["v"].combine_chunks())
-        of_query, of_data = side == 0, side == 1
-        lists = Lists(ids[of_data], x[of_data])
-        out = [(own, *found[:2]) for own, found in zip(ids[of_query], lists.top(ids[of_query], x[of_query], k))]
-        return pa.table({
-            "query_id": pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64)),
-            "neighbor_id": pa.array(np.concatenate([o[1] for o in out] or [np.zeros(0)]).astype(np.int64)),
-            "score": pa.array(np.concatenate([o[2] for o in out] or [np.zeros(0)]).astype(np.float64)),
-        })
-
-    spread = sides.repartition(min(blocks * blocks, 8 * partitions(spark)), "q", "d")
-    found = spread.groupBy("q", "d").applyInArrow(run, "query_id bigint, neighbor_id bigint, score double")
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()  # a bounded sample of vectors
+    n, some = rows.count(), stacked(some["v"].combine_chunks())
+    axes, dims = principal(some), some.shape[1]
+    parts = max(1, -(-n * dims // numbers), min(partitions(spark), n // max(1, least)))
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    data = rows.select(part.alias("part"), F.lit(0).alias("side"), "id", "v", F.lit(0.0).alias("floor"))
+    asked = rows.where(F.col("id") % every == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, lists = None, [], None
+        for batch in batches:
+            where, side = batch["part"].to_numpy(), batch["side"].to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (side[1:] != side[:-1])])) if len(where) else []
+            for a, b in zip(edges, [*edges[1:], len(where)]):
+                piece = batch.slice(a, b - a)
+                if where[a] != here:
+                    here, held, lists = where[a], [], None
+                if side[a] == 0:
+                    held.append((piece["id"].to_numpy(), stacked(piece["v"])))
+                    continue
+                if lists is None:
+                    lists = Lists(np.concatenate([i for i, _ in held] or [np.zeros(0, np.int64)]), np.concatenate([x for _, x in held] or [np.zeros((0, dims), np.float32)]), axes)
+                    held = []
+                ids, floors = piece["id"].to_numpy(), piece["floor"].to_numpy()
+                found = [lists.top(own, q, k, floor) for own, q, floor in zip(ids, stacked(piece["v"]), floors)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(ids, [len(f[0]) for f in found]).astype(np.int64)), pa.array(np.concatenate([f[0] for f in found]).astype(np.int64)), pa.array(np.concatenate([f[1] for f in found]).astype(np.float64)),
+                ], names=["query_id", "neighbor_id", "score"])
+
+    def found_by(queries: DataFrame) -> DataFrame:
+        both = data.union(queries.select("part", F.lit(1), "id", "v", "floor"))
+        count = min(parts, 8 * partitions(spark))
+        placed = both.repartitionById(count, F.col("part") % count).sortWithinPartitions("part", "side", "id")
+        return placed.mapInArrow(run, "query_id bigint, neighbor_id bigint, score double")
+
+    home, _ = written(found_by(asked.select(part.alias("part"), "id", "v", F.lit(float("-inf")).alias("floor"))), "home")
+    floors = home.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("got")).where(F.col("got") >= k).select(F.col("query_id").alias("id"), "floor")
+    away = asked.join(floors, "id", "left").select(part.alias("own"), "id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    away = away.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).where("part <> own")
+    found = home.union(found_by(away)) if parts > 1 else home
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbor_id"))
     return found.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "score")
 
@@ -132,7 +168,7 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = f"""
 WITH s AS (
   SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), {DECIMALS}) AS s
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+  FROM embeddings a JOIN embeddings b ON a.vec_id % {EVERY} = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, neighbor_id) AS rank FROM s)
 SELECT query_id, rank, neighbor_id, round(s, 6) AS score FROM r WHERE rank <= {K}
 """

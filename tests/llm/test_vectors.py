@@ -24,35 +24,63 @@ def brute(ids, x, k):
     return out
 
 
-@pytest.mark.parametrize("n, d, block", [(300, 6, 64), (50, 2, 4096), (5, 3, 2), (1, 3, 8)])
-def test_topk_equals_brute_force(spark, n, d, block):
+@pytest.mark.parametrize("n, d, every, numbers", [(300, 6, 1, 240), (400, 64, 7, 64 * 90), (50, 2, 1, 1 << 22), (5, 3, 1, 6), (1, 3, 1, 8)])
+def test_topk_equals_brute_force(spark, n, d, every, numbers):
     x = vectors(n, d)
     x[n // 2] = x[0]  # ties
     rows = [(i, x[i].tolist(), 1) for i in range(n)]
     df = spark.createDataFrame(rows + rows[:1], "vec_id long, embedding array<float>, rank int")
     found = {}
-    for r in topk.search(df, 4, block=block).orderBy("query_id", "rank").collect():
+    for r in topk.search(df, 4, every=every, numbers=numbers, least=20).orderBy("query_id", "rank").collect():
         found.setdefault(r["query_id"], []).append(r["neighbor_id"])
-    assert found == {i: v for i, v in brute(np.arange(n), x, 4).items() if v}
+    assert found == {i: v for i, v in brute(np.arange(n), x, 4).items() if v and i % every == 0}
 
 
-def test_threshold_stops_early():
-    """Where one dimension tells most, few rows are met, and the result is exact."""
-    rng = np.random.default_rng(1)
-    x = rng.standard_normal((5_000, 4)) * [10, 0.1, 0.1, 0.1]
-    lists = Lists(np.arange(5_000), x)
-    ids, scores, met = lists.top(np.array([-1]), x[7:8], 5)[0]
-    want = np.argsort(-(x @ x[7]), kind="stable")[:5]
-    assert ids.tolist() == want.tolist() and met < 2_500 and np.allclose(scores, (x @ x[7])[want])
-    assert lists.top(np.array([-1]), np.zeros((1, 4)), 3)[0][0].tolist() == [0, 1, 2]
+def turned(n, d, spread, seed=1):
+    """Vectors whose directions have this spread, turned so that no coordinate shows it."""
+    rng = np.random.default_rng(seed)
+    return (rng.standard_normal((n, d)) * spread) @ np.linalg.qr(rng.standard_normal((d, d)))[0]
+
+
+@pytest.mark.parametrize("d, spread, most", [(4, [10, 0.1, 0.1, 0.1], 500), (64, 2.0 ** -np.arange(64), 500), (64, 0.7 ** np.arange(64), 3_000)])
+def test_threshold_stops_early(d, spread, most):
+    """Where few directions tell rows apart, few rows are met, and the result is that of brute force."""
+    x = turned(5_000, d, spread)
+    lists = Lists(np.arange(5_000), x, topk.principal(x[:500]))
+    met = []
+    for i in range(0, 5_000, 250):
+        scores = np.round(x @ x[i], topk.DECIMALS)
+        scores[i] = -np.inf
+        want = np.lexsort((np.arange(5_000), -scores))[:5]
+        ids, found, count = lists.top(i, x[i], 5)
+        assert ids.tolist() == want.tolist() and np.allclose(found, scores[want])
+        met.append(count)
+        # With a bound from elsewhere nothing is lost, and no more rows are met.
+        again, _, fewer = lists.top(i, x[i], 5, scores[want[2]])
+        assert again.tolist() == want[:3].tolist() and fewer <= count
+    assert np.mean(met) < most
+
+
+def test_threshold_without_structure():
+    """Random vectors: lists are read until the bound allows to stop, or every row has been met."""
+    x = vectors(3_000, 64, 2)
+    ids, scores, count = Lists(np.arange(3_000), x).top(-1, x[7], 3)
+    assert ids[0] == 7 and count <= 3_000
+    assert Lists(np.arange(9), np.zeros((9, 4))).top(3, np.ones(4), 3)[0].tolist() == [0, 1, 2]
+    assert Lists(np.arange(9), vectors(9, 4)).top(-1, np.zeros(4), 3)[0].tolist() == [0, 1, 2]
+    assert not len(Lists(np.zeros(0, int), np.zeros((0, 4))).top(1, np.ones(4), 3)[0])
 
 
 def test_rows_that_are_no_vectors(spark):
     good = [(i, v.tolist()) for i, v in enumerate(vectors(6, 2))]
     df = spark.createDataFrame(good + ODD, "vec_id long, embedding array<float>")
-    assert {r["query_id"] for r in topk.search(df, 2).collect()} == set(range(6))
-    assert nn_descent.near_duplicates(df, t=0.999).count() <= 15
+    assert {r["query_id"] for r in topk.search(df, 2, every=1).collect()} == set(range(6))
+    x = vectors(6, 2)
+    want = {(i, j) for i in range(6) for j in range(i) if x[i] @ x[j] >= 0.3}
+    assert {(r["id_b"], r["id_a"]) for r in nn_descent.near_duplicates(df, t=0.3).collect()} == want and want
+    assert {r["vec_id"] for r in nn_descent.classes(df).collect()} == set(range(6))
     empty = df.limit(0)
+    assert nn_descent.classes(empty).count() == 0
     assert topk.search(empty).count() == 0 and nn_descent.near_duplicates(empty).count() == 0
 
 
@@ -65,14 +93,46 @@ def test_near_duplicates_recall_and_precision(spark):
     assert len(want) > 300 and found <= want and len(found) >= 0.95 * len(want)
 
 
+def grouped(pairs, ids):
+    """(class, links) of each id."""
+    group, links = {i: i for i in ids}, dict.fromkeys(ids, 0)
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+        old, new = max(group[a], group[b]), min(group[a], group[b])
+        group = {i: new if g == old else g for i, g in group.items()}
+    return {i: (group[i], links[i]) for i in ids}
+
+
+@pytest.mark.parametrize("piece", [4096, 40])
+def test_classes_and_links_equal_brute_force(spark, monkeypatch, piece):
+    """One row a vector: a third of all are one vector, some are zero; large buckets are joined piece by piece."""
+    monkeypatch.setattr(nn_descent, "PIECE", piece)
+    x = vectors(300, 16, 4, copies=60).astype(np.float32)
+    x[100:200] = x[50]
+    x[200:203] = 0
+    df = spark.createDataFrame([(i, v.tolist(), "c") for i, v in enumerate(x)], "vec_id long, embedding array<float>, links string")
+    s = x @ x.T
+    pairs = [(i, j) for i in range(300) for j in range(i + 1, 300) if s[i, j] >= 0.9]
+    found = {r["vec_id"]: (r["class_id"], r["links"]) for r in nn_descent.classes(df).collect()}
+    assert found == grouped(pairs, range(300)) and found[150] == (50, 100) and found[201] == (201, 0)
+
+
 def test_refinement_finds_what_the_start_missed(spark):
-    x = vectors(400, 8, 5, copies=80)
+    """Two hashes leave edges out that one round of neighbours' neighbours adds; none that is found is wrong."""
+    x = vectors(400, 8, 5, copies=80).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
-    start = nn_descent.begin(df, 400, 4, 0.9, 1, 0)
+    start, _ = nn_descent.begin(df, 400, 4, 0.9, 2, 0)
     graph = nn_descent.shortened(start, 4, 0.9).selectExpr("u", "v", "sim", "true AS new").cache()
+    near = lambda g: {(r["u"], r["v"]) for r in g.where("sim >= 0.9").collect()}
+    s = x @ x.T
+    want = {(i, j) for i, j in zip(*np.nonzero(s >= 0.9)) if i != j}
     better = nn_descent.refined(graph, df, 4, 0.9).cache()
-    mean = lambda g: g.agg({"sim": "avg"}).first()[0]
-    assert mean(better) > mean(graph) and nn_descent.audited(better, df, 0.9) >= nn_descent.audited(graph, df, 0.9)
+    edges = lambda g: {(r["u"], r["v"]) for r in g.collect()}
+    assert len(edges(better) - edges(graph)) >= 20
+    assert near(graph) <= near(better) <= want and len(near(better)) >= 0.95 * len(want)
+    top = {(i, int(j)) for i in range(400) for j in np.argsort(-(s[i] - 9 * (np.arange(400) == i)))[:4]}
+    assert len(top & edges(better)) > len(top & edges(graph))
 
 
 @pytest.mark.parametrize("count", [51_282, 500_000, 15_000_000])
