@@ -8,7 +8,8 @@ keeps all of them. There are as many hashes as let any pair at the threshold
 meet with the wanted probability, whatever else the table holds. An audit
 compares a sample of rows with brute force over all; while recall is too low,
 lists are doubled, more hashes added and rounds run. Edges at or above the
-threshold are the result.
+threshold are the result: the links of each row, and the classes that they
+connect. Equal vectors are one row of the graph from the start.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import importable, partitions, remove, table, written
+from quern.llm.graphs import components
 from quern.llm.vectors import stacked, usable
 
 THRESHOLD = 0.9
@@ -31,6 +33,8 @@ NEIGHBOURS = 10
 HASHES = 8
 #: Rows that a bucket of a hash has on average, and rows of it that are compared in one piece.
 BUCKET, PIECE = 64, 4096
+#: Large buckets that there can be at most where they are joined by broadcast.
+MOST_LARGE = 100_000
 #: The recall that hashes are made for and that the audit must show, and attempts to reach it.
 RECALL, ATTEMPTS = 0.95, 4
 #: Rows with a near duplicate that the audit needs, and rows that it begins with and samples at most (for measuring only).
@@ -75,8 +79,8 @@ def bits_for(count: int, t: float) -> int:
     return bits
 
 
-def begin(rows: DataFrame, count: int, k: int, t: float, hashes: int, seed: int) -> DataFrame:
-    """``(u, v, sim)``: per bucket of each hash, the k nearest of every row, and all that are near duplicates."""
+def begin(rows: DataFrame, count: int, k: int, t: float, hashes: int, seed: int) -> tuple[DataFrame, str]:
+    """``(u, v, sim)``: per bucket of each hash, the k nearest of every row, and all that are near duplicates; and the folder that it reads."""
     bits = bits_for(count, t)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,27 +95,37 @@ def begin(rows: DataFrame, count: int, k: int, t: float, hashes: int, seed: int)
                 yield pa.RecordBatch.from_arrays([pa.array(code * hashes + h, pa.int64()), ids, b.column(1)], names=["bucket", "id", "v"])
 
     def nearest(group: pa.Table) -> pa.Table:
-        ids, x = group["id"].to_numpy(), _unit(stacked(group["v"].combine_chunks()))
+        """Of a bucket, or of two pieces of a large one: rows of the first piece against those of both, or of the second."""
+        first, second = group["piece"][0].as_py(), group["other"][0].as_py()
+        ids, own, x = group["id"].to_numpy(), group["own"].to_numpy(), _unit(stacked(group["v"].combine_chunks()))
+        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
         u, v, s = [], [], []
-        for a in range(0, len(ids), PIECE):  # pieces against each other: every pair of the bucket is compared
-            best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for step in range(a, min(a + PIECE, len(ids)), 512):
-                own = np.arange(step, min(step + 512, a + PIECE, len(ids)))
-                sim = x[own] @ x.T
-                sim[np.arange(len(own)), own] = -2
-                few = min(k, len(ids) - 1)
+        for step in range(0, len(left), 512):
+            here = left[step : step + 512]
+            sim = x[here] @ x[right].T
+            if first == second:
+                sim[np.arange(len(here)), np.arange(step, step + len(here))] = -2
+            for a, b, m in ((here, right, sim), *([(right, here, sim.T)] if first != second else [])):
+                few = min(k, m.shape[1] - (first == second))
                 if few < 1:
                     continue
-                edge = -np.partition(-sim, few - 1, axis=1)[:, few - 1]
-                i, j = np.nonzero((sim >= np.minimum(edge, t)[:, None]) & (sim > -1.5))
-                u.append(ids[own[i]])
-                v.append(ids[j])
-                s.append(sim[i, j])
+                edge = -np.partition(-m, few - 1, axis=1)[:, few - 1]
+                i, j = np.nonzero((m >= np.minimum(edge, t)[:, None]) & (m > -1.5))
+                u.append(ids[a[i]])
+                v.append(ids[b[j]])
+                s.append(m[i, j])
         empty = np.zeros(0)
         return _table(np.concatenate([*u, empty]), np.concatenate([*v, empty]), np.concatenate([*s, empty]))
 
-    buckets = rows.mapInArrow(hashed, "bucket bigint, id bigint, v array<float>")
-    return buckets.groupBy("bucket").applyInArrow(nearest, _EDGES).where("u <> v").dropDuplicates(["u", "v"])
+    buckets, at = written(rows.mapInArrow(hashed, "bucket bigint, id bigint, v array<float>"), "buckets")
+    # A bucket of more than PIECE rows, as that of a large group, is cut into pieces, and each two of them are a task.
+    large = buckets.groupBy("bucket").count().where(F.col("count") > PIECE).select("bucket", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces"))
+    cut = buckets.join(F.broadcast(large) if count * hashes <= MOST_LARGE * PIECE else large, "bucket", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    met = cut.withColumn("met", F.explode(F.when(F.col("pieces") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("pieces") - 1))))
+    tasks = met.select("bucket", "id", "v", "own", F.least("own", "met").alias("piece"), F.greatest("own", "met").alias("other"))
+    found = tasks.groupBy("bucket", "piece", "other").applyInArrow(nearest, _EDGES).where("u <> v").dropDuplicates(["u", "v"])
+    return found, at
 
 
 def shortened(edges: DataFrame, k: int, t: float) -> DataFrame:
@@ -222,32 +236,42 @@ def accepted(audit: Audit, sure: float) -> bool:
     return audit.recall >= RECALL and (audit.whole or audit.rows >= EVIDENCE or sure >= SURE)
 
 
-def near_duplicates(table: DataFrame, t: float = THRESHOLD, k: int = NEIGHBOURS, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """``(id_a, id_b, similarity)``, id_a < id_b: pairs with a cosine of at least t.
+class Found(NamedTuple):
+    """members: ``(id, rep, alone)``, which vector stands for that of an id, and whether it is one of zeros; graph: ``(u, v, sim)`` both ways."""
+
+    members: DataFrame
+    graph: DataFrame
+
+
+def search(table: DataFrame, t: float = THRESHOLD, k: int = NEIGHBOURS, id_column: str = "vec_id", column: str = "embedding") -> Found:
+    """The neighbour graph at the threshold.
 
     Approximate: any pair is found with a probability of at least 95 %, and
     the mean recall of the audit's rows is at least that. Each attempt takes
     as many hashes again; if the audit fails after the last of ``ATTEMPTS``,
     by when a pair is missed with a probability of (1 - ``RECALL``) to the
-    power of ``ATTEMPTS``, that is an error and nothing is returned. Rows that ``vectors.usable`` leaves out are in no pair, nor is a
-    vector of zeros, whose cosine counts as 0. Repeated rows are one. An empty
-    table gives no pairs; other columns don't matter.
+    power of ``ATTEMPTS``, that is an error and nothing is returned.
     """
     spark = table.sparkSession
     importable(spark)
-    rows, at_rows = written(usable(table, id_column, column), "vectors")
+    every, _ = written(usable(table, id_column, column), "vectors")
+    kinds = every.groupBy("v").agg(F.min("id").alias("rep"))
+    alone = ~F.exists("v", lambda x: x != 0)
+    members = every.join(kinds, "v").select("id", "rep", alone.alias("alone"))
+    members, _ = written(members, "members")
+    rows, _ = written(kinds.where(~alone).select(F.col("rep").alias("id"), "v"), "kinds")
     count = rows.count()
     bits = bits_for(count, t)
     hashes, seeds = hashes_for(bits, t), 0
     graph = path = None
     for attempt in range(ATTEMPTS):
         for made in range(0, hashes, HASHES):
-            more = begin(rows, count, k, t, min(HASHES, hashes - made), seeds).withColumn("new", F.lit(True))
+            more, at = begin(rows, count, k, t, min(HASHES, hashes - made), seeds)
+            more = more.withColumn("new", F.lit(True))
             if graph is not None:
                 more = graph.union(more).groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
             graph, new_path = written(shortened(more, k, t), "graph")
-            if path:
-                remove(spark, path)
+            remove(spark, at, *([path] if path else []))
             path, seeds = new_path, seeds + 1
         near = graph.where(F.col("sim") >= t).count()
         for _ in range(ROUNDS):
@@ -264,9 +288,51 @@ def near_duplicates(table: DataFrame, t: float = THRESHOLD, k: int = NEIGHBOURS,
             k *= 2
     else:
         raise RuntimeError(f"after {ATTEMPTS * hashes} hashes the audit of {audit.rows} rows still shows a recall of {audit.recall:.3f}; {RECALL} is wanted")
-    pairs = graph.where(F.col("sim") >= t).groupBy(F.least("u", "v").alias("id_a"), F.greatest("u", "v").alias("id_b")).agg(F.max("sim").alias("similarity"))
-    return pairs
+    edges = graph.where(F.col("sim") >= t)
+    both = edges.select("u", "v", "sim").union(edges.select("v", "u", "sim"))
+    return Found(members, both.groupBy("u", "v").agg(F.max("sim").alias("sim")))
+
+
+def near_duplicates(table: DataFrame, t: float = THRESHOLD, k: int = NEIGHBOURS, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """``(id_a, id_b, similarity)``, id_a < id_b: pairs of different vectors with a cosine of at least t, found as ``search`` says.
+
+    Of equal vectors the least id stands for all, and each other one is paired
+    with it alone. Rows that ``vectors.usable`` leaves out are in no pair, nor
+    is a vector of zeros, whose cosine counts as 0. Repeated rows are one. An
+    empty table gives no pairs; other columns don't matter.
+    """
+    found = search(table, t, k, id_column, column)
+    pairs = found.graph.where("u < v").toDF("id_a", "id_b", "similarity")
+    return pairs.union(found.members.where("id <> rep AND NOT alone").select("rep", "id", F.lit(1.0)))
+
+
+def classes(table: DataFrame, t: float = THRESHOLD, k: int = NEIGHBOURS, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """``(vec_id, class_id, links)``: one row for each usable vector, with the pairs that ``search`` finds.
+
+    links: how many other rows have a cosine of at least t with it, equal
+    vectors counted each. class_id: the least id that a chain of links leads
+    to, its own where there is none. What ``near_duplicates`` says of odd rows
+    holds here: those left out give no row, a vector of zeros has no links.
+    """
+    members, graph = search(table, t, k, id_column, column)
+    size = members.groupBy("rep").agg(F.count("*").alias("size"), F.max("alone").alias("alone"))
+    around = graph.join(size.select(F.col("rep").alias("v"), "size"), "v").groupBy(F.col("u").alias("rep")).agg(F.sum("size").alias("around"))
+    nodes, _ = components(graph.where("u < v").select(F.col("u").alias("a"), F.col("v").alias("b")))
+    told = size.join(around, "rep", "left").join(nodes.withColumnRenamed("node", "rep"), "rep", "left")
+    links = F.when(F.col("alone"), 0).otherwise(F.col("size") - 1 + F.coalesce("around", F.lit(0)))
+    told = told.select("rep", links.cast("bigint").alias("links"), F.coalesce("comp", "rep").alias("comp"))
+    alone = members.join(told, "rep")
+    return alone.select(F.col("id").alias("vec_id"), F.when(F.col("alone"), F.col("id")).otherwise(F.col("comp")).alias("class_id"), "links")
 
 
 def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "embeddings")).withColumn("similarity", F.round("similarity", 5))
+    return classes(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE p AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= {THRESHOLD}),
+r(vec_id, to_id) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, p.b FROM r JOIN p ON p.a = r.to_id)
+SELECT e.vec_id, (SELECT min(to_id) FROM r WHERE r.vec_id = e.vec_id) AS class_id, (SELECT count(*) FROM p WHERE p.a = e.vec_id) AS links FROM embeddings e
+"""

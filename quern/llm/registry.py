@@ -28,6 +28,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.ORACLE_SQL,
         "op2_ngram_join": ngram_join.ORACLE_SQL,
+        "op5_nn_descent": nn_descent.ORACLE_SQL,
         "op6_sharding": sharding.ORACLE_SQL,
         "op8_topk": topk.ORACLE_SQL,
     }
