@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import threading
 import time
-from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.metrics import Metrics
 from quern.operators import build
 from quern.plans import search as plans
 from quern.plans.parser import Page, Parsed, parse
@@ -18,6 +20,7 @@ from quern.sources.catalog import Catalog, CreateRequest, Definition
 from quern.sources.config import Config
 from quern.sources.segments import Segment, Segments, should_merge
 from quern.sources.storage import Files
+from quern.streaming.merging import Merger
 
 
 @dataclass(frozen=True)
@@ -50,13 +53,26 @@ def id_errors(docs: DataFrame) -> DataFrame:
     return docs.withColumn("error", F.when(F.col("id").isNull(), "document has no id").when(F.col("id") == "", "document id is empty"))
 
 
+def request_error(row: object) -> str | None:
+    """Why a document of a request can't be indexed; null for a good one."""
+    if not isinstance(row, dict):
+        return "document isn't an object"
+    if row.get("id") is None:
+        return "document has no id"
+    if not isinstance(row["id"], str):
+        return "document id isn't a string"
+    return None if row["id"] else "document id is empty"
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, catalog_folder: str | None = None, config: Config | None = None):
         """``root`` holds the data, on a file system that all executors share; the catalog too, unless a folder of the driver's is given."""
         self.spark, self.root, self.config = spark, root.rstrip("/"), config or Config()
         files = Files(spark, root) if catalog_folder is None else None
         self.catalog = Catalog(catalog_folder or f"{self.root}/_catalog", self.config.tokenizer, self.config.bm25, files)
-        self.counters: Counter[str] = Counter()
+        self.metrics = Metrics()
+        self.merger: Merger | None = None
+        self._noting = threading.Lock()
 
     # -- catalog ------------------------------------------------------------
 
@@ -90,12 +106,47 @@ class Engine:
         errors = tuple(f"{r['error']} ({r['count']})" for r in sorted(bad))
         good = judged.where(F.col("error").isNull()).drop("error")
         made = segments.write(good, applied, segment_id) if "id" in docs.columns and isinstance(build.kind(docs, "id"), T.StringType) else None
-        self.counters["index_documents_total"] += made.documents if made else 0
-        self.counters["index_latency_ms"] += int((time.time() - began) * 1000)
+        return self._ingested(name, segments, [made] if made else [], errors, began)
+
+    def index_request(self, name: str, rows: Sequence[object]) -> Ingested:
+        """Add the documents of a request, in its order: a new segment whenever the thresholds of the configuration are reached.
+
+        All of them are visible at once. Errors tell the document's place.
+        """
+        began = time.time()
+        segments = self.segments(name)
+        errors, good = [], []
+        for i, row in enumerate(rows):
+            wrong = request_error(row)
+            errors += [f"doc {i}: {wrong}"] * bool(wrong)
+            good += [] if wrong else [json.dumps(row)]
+        made: list[Segment] = []
+        if good:
+            docs = self.spark.read.json(self.spark.sparkContext.parallelize(good, 1))
+            docs = docs.drop("ordinal").withColumn("ordinal", F.monotonically_increasing_id()).persist()
+            try:
+                cut = self.flush_plan(name, docs.select("ordinal", *[f"`{c}`" for c in docs.columns if c != "ordinal"]), ["ordinal"]).select("ordinal", "segment").persist()
+                for k in range(cut.agg(F.max("segment")).first()[0] + 1):
+                    made.append(segments.written(docs.join(cut.where(F.col("segment") == k), "ordinal", "left_semi")))
+                cut.unpersist()
+            finally:
+                docs.unpersist()
+            made = segments.add(made)
+        return self._ingested(name, segments, made, tuple(errors), began)
+
+    def _ingested(self, name: str, segments: Segments, made: list[Segment], errors: tuple[str, ...], began: float) -> Ingested:
+        done = Ingested(sum(s.documents for s in made), tuple(s.id for s in made), errors)
+        self.metrics.count("index_documents_total", done.indexed, index=name)
+        self.metrics.observe("index_latency_ms", (time.time() - began) * 1000, index=name)
+        if errors:
+            self.metrics.count("index_errors_total", len(errors), index=name)
         self._note(name, segments)
-        if should_merge(segments.segments(), self.config.merge_threshold) and self.config.merge_interval == 0:
-            self.compact(name)
-        return Ingested(made.documents if made else 0, (made.id,) if made else (), errors)
+        if should_merge(segments.segments(), self.config.merge_threshold):
+            if self.merger:
+                self.merger.request(name)
+            elif self.config.merge_interval == 0:
+                self.compact(name)
+        return done
 
     def flush_plan(self, name: str, docs: DataFrame, order: Sequence[str]) -> DataFrame:
         """Where the thresholds of the configuration would cut a request into segments."""
@@ -116,11 +167,25 @@ class Engine:
         due = should_merge(self.segments(name).segments(), self.config.merge_threshold)
         return self.compact(name) if due else None
 
+    def start_merging(self) -> Merger:
+        """Merge in the background from now on, when it is due and at the interval of the configuration."""
+        if self.merger is None:
+            self.merger = Merger(self.compact, lambda: [d.name for d in self.list_indexes()], self.config.merge_interval)
+        return self.merger
+
+    def close(self) -> None:
+        if self.merger:
+            self.merger.close()
+            self.merger = None
+
     def _note(self, name: str, segments: Segments) -> None:
-        own = segments.segments()
-        self.counters["segments"] = len(own)
-        told = tuple({"id": s.id, "document_count": s.documents} for s in own)
-        self.catalog.update(replace(self.get_index(name), doc_count=sum(s.documents for s in own), segments=told))
+        with self._noting:
+            manifest = segments.manifest()
+            own = [Segment(**s) for s in manifest["segments"]]
+            self.metrics.gauge("segments", len(own), index=name)
+            self.metrics.gauge("wal_offset_bytes", manifest["bytes"], index=name)
+            told = tuple({"id": s.id, "document_count": s.documents} for s in own)
+            self.catalog.update(replace(self.get_index(name), doc_count=sum(s.documents for s in own), segments=told))
 
     # -- search -------------------------------------------------------------
 
@@ -139,9 +204,9 @@ class Engine:
             found.unpersist()
         hits = plans.with_source(index, self.spark.createDataFrame(top, "id string, score double"), query)
         hits = hits.orderBy(F.desc(F.round("score", plans.DECIMALS)), "id")
-        self.counters["search_requests_total"] += 1
         taken = (time.time() - began) * 1000
-        self.counters["search_latency_ms"] += int(taken)
+        self.metrics.count("search_requests_total", index=name)
+        self.metrics.observe("search_latency_ms", taken, index=name)
         return Answer(total, where.number, where.size, hits, taken)
 
     def search_many(self, name: str, queries: Sequence[tuple[str, str]], page: int = 1, size: int = 10) -> DataFrame:
@@ -149,5 +214,17 @@ class Engine:
         parsed: list[Parsed] = [parse(q, f) for q, f in queries]
         return plans.ranked_each(plans.hits(self.snapshot(name), parsed), Page(page, size))
 
-    def ready(self) -> bool:
-        return all(self.segments(d.name) is not None for d in self.list_indexes())
+    def ready(self) -> dict:
+        """How many indexes there are and how many of them can be read; ``ready`` if it is all, and merging hasn't died."""
+        try:
+            names = [d.name for d in self.list_indexes()]
+        except Exception:
+            return {"ready": False, "registry": 0, "engines": 0}
+        able = 0
+        for name in names:
+            try:
+                segments = self.segments(name)
+                able += all(segments.files.exists(f"{segments.root}/docs/{s.folder}") for s in segments.segments())
+            except Exception:
+                continue
+        return {"ready": able == len(names) and (self.merger is None or self.merger.alive()), "registry": len(names), "engines": able}

@@ -8,13 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 AROUND = 3
-_EDGES = "^[,.!?:;]+|[,.!?:;]+$"
+_EDGES = ",.!?:;"
 
 
 def snippet(text: Column, terms: Sequence[str]) -> Column:
     """Up to seven words of a text, or null where no word is one of the terms."""
     words = F.filter(F.split(text, "(?U)\\s+"), lambda w: w != "")
-    matches = lambda w: F.lower(F.regexp_replace(w, _EDGES, "")).isin(list(terms))
+    matches = lambda w: F.lower(F.btrim(w, F.lit(_EDGES))).isin(list(terms))
     first = F.array_position(F.transform(words, matches), True)
     start = F.greatest(first - AROUND, F.lit(1)).cast("int")
     size = (F.least(first + AROUND, F.size(words)) - start + 1).cast("int")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import fresh, importable, partitions, remove, table, written
+from quern.llm.graphs import components
 from quern.llm.grams import WORD, gram_set
 
 N = 5
@@ -30,8 +31,10 @@ THRESHOLD = 0.4
 STRETCH, LEAST = 1 << 18, 1 << 9
 #: Ranks between two of a probe's remaining counts.
 STRIDE = 64
-#: Sets up to this many are picked from the texts by a broadcast join.
-BROADCAST_SETS = 1_000_000
+#: N-grams of a bucket in which their frequencies are counted, on average.
+BUCKET_GRAMS = 1 << 20
+#: Rows up to this many, of six numbers each, are joined to the texts by broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def needed(n: int, t: float) -> int:
@@ -80,9 +83,12 @@ def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(sorted_)))
 
 
-def links(docs: DataFrame, n: int, t: float) -> DataFrame:
-    """``(a, b)``: fingerprints of sets that meet in a rare n-gram; every similar pair is connected by such links."""
-    buckets = 2 * partitions(docs.sparkSession)
+def links(docs: DataFrame, n: int, t: float, grams: int) -> DataFrame:
+    """``(a, b)``: fingerprints of sets that meet in a rare n-gram; every similar pair is connected by such links.
+
+    ``grams`` tells how many n-grams all sets have; the buckets follow from it.
+    """
+    buckets = max(2 * partitions(docs.sparkSession), -(-grams // BUCKET_GRAMS))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per batch and bucket of n-grams one row: keys, which of the sets, the sets' fingerprints."""
@@ -194,32 +200,6 @@ def links(docs: DataFrame, n: int, t: float) -> DataFrame:
     return judged.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``(node, comp)`` for every end of an edge ``(a, b)``: comp is the least node that is connected to it.
-
-    Large-star and small-star steps in turn, each round written to the shared
-    folder, until nothing changes. Returns the folder to remove with it.
-    """
-    spark = edges.sparkSession
-    e, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star")
-    mark = None
-    while True:
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        e, new = written(small, "star")
-        remove(spark, path)
-        path = new
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == mark:
-            break
-        mark = now
-    nodes = e.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    return nodes.union(e.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct(), [path]
-
-
 class Trie:
     """Sets of ranks in ascending order, in a tree whose edges are runs of ranks."""
 
@@ -316,7 +296,7 @@ def join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame,
     spark = docs.sparkSession
     importable(spark)
     members, at_members = written(sets(docs, n), "members")
-    edges, at_edges = written(links(docs, n, t), "links")
+    edges, at_edges = written(links(docs, n, t, members.agg(F.sum("n")).first()[0] or 0), "links")
     nodes, at_nodes = components(edges)
     remove(spark, at_edges)
     # One row of each set stands for it: that of the least mark, then id.
@@ -329,8 +309,9 @@ def join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame,
     other = parts.select(F.col("comp").alias("comp2"), F.col("part").alias("part2"), "least")
     tasks = parts.select("comp", "part", "most").join(other, (F.col("comp") == F.col("comp2")) & (F.col("part") <= F.col("part2")) & (F.col("most") >= F.lit(t) * F.col("least") - 1e-6)).select("comp", "part", "part2")
     sides = tasks.select("comp", F.col("part").alias("part"), "part", F.col("part2").alias("other"), F.lit(0).alias("side")).toDF("comp", "part", "p1", "p2", "side").union(tasks.where("part <> part2").select("comp", "part2", "part", "part2", F.lit(1)))
-    routed = chosen.join(sides, ["comp", "part"])
-    if chosen.count() <= BROADCAST_SETS:
+    # A set of a large component is routed to each stretch that its own one meets.
+    routed, at_routed = written(chosen.join(sides, ["comp", "part"]), "routed")
+    if routed.count() <= BROADCAST_ROWS:
         routed = F.broadcast(routed)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     picked = texts.join(routed, "mark").where(F.col("doc_id").eqNullSafe(F.col("of_id"))).select("comp", "p1", "p2", "side", "fp", "text")
@@ -366,7 +347,7 @@ def join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame,
     carried = picked.mapInArrow(grams, "comp bigint, p1 int, p2 int, side int, fp bigint, grams binary")
     carried = carried.repartition(partitions(spark), "comp", "p1", "p2").sortWithinPartitions("comp", "p1", "p2", "side", "fp")
     similar, at_similar = written(carried.mapInArrow(blocks, "a bigint, b bigint, jaccard double"), "similar")
-    remove(spark, at_chosen, *at_nodes)
+    remove(spark, at_chosen, at_routed, *at_nodes)
     return members, similar, [at_members, at_similar]
 
 
@@ -414,15 +395,47 @@ def one_of_each(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(wordless)
 
 
+def classes(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """``(doc_id, class_id, links)``: one row for each id.
+
+    links: how many other documents have a Jaccard index of at least t with it.
+    Copies are counted, not spread out: no pair of documents is ever a row. An
+    id that has several texts counts a link for each two of its own and
+    another's. class_id: the least id that a chain of similar documents (and
+    texts of one id) leads to. A document without a word (of a null or empty
+    text) has no links and is a class of its own. Null ids give no row. Other
+    columns don't matter. An empty table gives none.
+    """
+    members, similar, _ = join(docs, n, t)
+    own = members.where("doc_id IS NOT NULL").select("doc_id", "fp").distinct()
+    size = own.groupBy("fp").agg(F.count("*").alias("size"))
+    both = similar.select("a", "b").union(similar.select("b", "a"))
+    around = both.join(size.toDF("b", "size"), "b").groupBy("a").agg(F.sum("size").alias("around"))
+    sets_ = size.join(around.withColumnRenamed("a", "fp"), "fp", "left").select("fp", (F.col("size") + F.coalesce("around", F.lit(0))).alias("reach"))
+    several = own.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("fp").alias("first")).where("k > 1")
+    # Links between the texts of one id aren't links to others; they are few, as few ids have several texts.
+    many = own.join(several, "doc_id").select("doc_id", "fp", "first")
+    inner = many.select("doc_id", F.col("fp").alias("a")).join(both, "a").join(many.select("doc_id", F.col("fp").alias("b")), ["doc_id", "b"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("inner"))
+    nodes, _ = components(similar.select("a", "b").union(many.where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))))
+    placed = own.join(sets_, "fp").join(nodes, own.fp == nodes.node, "left").select("doc_id", "reach", F.coalesce("comp", "fp").alias("class"))
+    each = placed.groupBy("doc_id").agg(F.sum(F.col("reach") - 1).cast("bigint").alias("links"), F.min("class").alias("class"))
+    least = placed.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    told = each.join(least, "class").join(inner, "doc_id", "left").select("doc_id", "class_id", (F.col("links") - F.coalesce("inner", F.lit(0))).alias("links"))
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    return ids.join(told, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("jaccard", F.round("jaccard", 6))
+    return classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 ORACLE_SQL = f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents WHERE text IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents WHERE text IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, greatest(len(w) - {N - 1}, 1)), lambda i: array_to_string(w[i:i + {N - 1}], ' '))) AS g FROM w WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, round(o / CAST(x.n + y.n - o AS DOUBLE), 6) AS jaccard
-FROM o JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE o >= {THRESHOLD} * (x.n + y.n - o) - 1e-9
+o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+p AS MATERIALIZED (SELECT doc_a, doc_b FROM o JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE o >= {THRESHOLD} * (x.n + y.n - o) - 1e-9),
+e AS MATERIALIZED (SELECT doc_a AS a, doc_b AS b FROM p UNION ALL SELECT doc_b, doc_a FROM p),
+r(doc_id, to_id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.to_id)
+SELECT d.doc_id, (SELECT min(to_id) FROM r WHERE r.doc_id = d.doc_id) AS class_id, (SELECT count(*) FROM e WHERE e.a = d.doc_id) AS links FROM documents d
 """

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,15 +63,24 @@ def tokens(docs: DataFrame, definition: Definition, keep: Sequence[str] = ("id",
     return docs.select(*keep, F.inline(field_tokens(docs, definition)))
 
 
+def tokenised(docs: DataFrame, definition: Definition, keep: Sequence[str] = ("id", *VERSION)) -> DataFrame:
+    """The ``keep`` columns with a document's indexed tokens (term, pos, weight), and dl, how many they are; empty terms aren't indexed."""
+    found = F.transform(F.filter(field_tokens(docs, definition), lambda x: x["term"] != ""), lambda x: F.struct(x["term"].alias("term"), x["pos"].alias("pos"), x["weight"].alias("weight")))
+    return docs.select(*keep, found.alias("tokens")).select(*keep, "tokens", F.size("tokens").cast("bigint").alias("dl"))
+
+
+def gathered(tokens: DataFrame, keep: Sequence[str] = ("id", *VERSION)) -> DataFrame:
+    """Postings of a table that ``tokenised`` made; what one task has of a document is one row a term before it is shuffled."""
+    rows = tokens.select(*keep, "dl", F.inline("tokens"))
+    return rows.groupBy("term", *keep, "dl").agg(F.sum("weight").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
 def postings(docs: DataFrame, definition: Definition, keep: Sequence[str] = ("id", *VERSION)) -> DataFrame:
     """One row per term and document: tf is the sum of the fields' weights, positions of all fields in order.
 
     dl, the document's length, travels along, so that scoring needs no join.
-    Empty terms aren't indexed.
     """
-    found = F.filter(field_tokens(docs, definition), lambda x: x["term"] != "")
-    rows = docs.select(*keep, found.alias("tokens")).select(*keep, F.size("tokens").cast("bigint").alias("dl"), F.inline("tokens"))
-    return rows.groupBy("term", *keep, "dl").agg(F.sum("weight").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return gathered(tokenised(docs, definition, keep), keep)
 
 
 def lengths(docs: DataFrame, definition: Definition, keep: Sequence[str] = ("id", *VERSION)) -> DataFrame:
@@ -98,30 +108,31 @@ def average_field_lengths(docs: DataFrame, definition: Definition) -> DataFrame:
     return wide.select("__n", F.inline(rows)).select("field", "total", F.when(F.col("__n") > 0, F.col("total") / F.col("__n")).otherwise(0.0).alias("average"))
 
 
-def flush_by_documents(docs: DataFrame, most: int, order: Sequence[str]) -> DataFrame:
-    """``docs`` with ``segment``: a new one after every ``most`` documents in the given order; 0 is no bound."""
-    nth = F.row_number().over(Window.orderBy(*order)) - 1  # a request's documents are one sequence
-    return docs.withColumn("segment", F.floor(nth / most).cast("int") if most > 0 else F.lit(0))
-
-
 def flush(docs: DataFrame, tokens_column: str, documents: int, postings: int, order: Sequence[str]) -> DataFrame:
     """``docs`` with ``segment``: a new one once so many documents or tokens are held; 0 is no bound.
 
-    The running counts begin again with each segment, which no window
-    expresses: one ordered fold over the sizes alone assigns all segments.
+    The running counts begin again with each segment, so that the place of a
+    document depends on all before it: one task reads the order and the sizes
+    alone, as a stream, and holds two counts.
     """
-    sizes = docs.select(F.sort_array(F.collect_list(F.struct(*order, F.col(tokens_column).cast("bigint").alias("__size")))).alias("all"))
-    state = "struct<segment:int,documents:bigint,tokens:bigint,out:array<int>>"
-
-    def step(s: Column, x: Column) -> Column:
-        d, t = s["documents"] + 1, s["tokens"] + x["__size"]
-        full = (F.lit(documents > 0) & (d >= documents)) | (F.lit(postings > 0) & (t >= postings))
-        return F.struct(
-            F.when(full, s["segment"] + 1).otherwise(s["segment"]).alias("segment"), F.when(full, F.lit(0)).otherwise(d).cast("bigint").alias("documents"),
-            F.when(full, F.lit(0)).otherwise(t).cast("bigint").alias("tokens"), F.concat(s["out"], F.array(s["segment"])).alias("out"),
-        ).cast(state)
-
-    start = F.struct(F.lit(0).alias("segment"), F.lit(0).cast("bigint").alias("documents"), F.lit(0).cast("bigint").alias("tokens"), F.array().cast("array<int>").alias("out")).cast(state)
-    folded = sizes.select("all", F.aggregate("all", start, step)["out"].alias("out"))
-    assigned = folded.select(F.inline(F.zip_with("all", "out", lambda x, s: F.struct(*[x[c].alias(c) for c in order], s.alias("segment")))))
+    sizes = docs.select(*order, F.col(tokens_column).cast("bigint").alias("__size"))
+    schema = T.StructType([f for f in sizes.schema.fields if f.name != "__size"] + [T.StructField("segment", T.IntegerType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = held = tokens = 0
+        for b in batches:
+            out = []
+            for size in b.column(b.num_columns - 1).to_pylist():
+                out.append(segment)
+                held, tokens = held + 1, tokens + (size or 0)
+                if documents > 0 and held >= documents or postings > 0 and tokens >= postings:
+                    segment, held, tokens = segment + 1, 0, 0
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.int32())], names=[*b.schema.names[:-1], "segment"])
+
+    assigned = sizes.repartition(1).sortWithinPartitions(*order).mapInArrow(fold, schema)
     return docs.join(assigned, list(order))
+
+
+def flush_by_documents(docs: DataFrame, most: int, order: Sequence[str]) -> DataFrame:
+    """``docs`` with ``segment``: a new one after every ``most`` documents in the given order; 0 is no bound."""
+    return flush(docs.withColumn("__none", F.lit(0)), "__none", most, 0, order).drop("__none")

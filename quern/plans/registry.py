@@ -7,6 +7,7 @@ in the shared work folder, and searched by all queries.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,10 @@ from quern.functions import analysis
 from quern.functions.highlight import snippet
 from quern.operators import build
 from quern.plans import search
-from quern.plans.parser import Page, Parsed, parse
+from quern.plans.parser import Page, parse
 from quern.sources.catalog import BM25, Definition, Field
-from quern.sources.segments import SMALL, Segments, resolved
+from quern.sources.config import Config
+from quern.sources.segments import SMALL, Segment, Segments, resolved, should_merge
 from quern.sources.storage import unique
 from quern.streaming.ingest import ingest
 
@@ -112,72 +114,79 @@ def _phrase_sql(words: tuple[str, ...], strict: bool) -> str:
     return f"SELECT p0.id FROM post p0 {joins} WHERE p0.term = {_quoted(words[0])} AND {tests}"
 
 
-def matches_sql(q: Parsed, strict: bool = False) -> str:
-    sets = [f"SELECT id FROM post WHERE term = {_quoted(w)}" for w in q.scoring]
-    sets += [_phrase_sql(c.words, strict) for c in q.positive if c.phrase and len(c.words) > 1]
-    wanted = " INTERSECT ".join(f"({s})" for s in sets) if q.positive else "SELECT id FROM post WHERE false"
-    for c in q.clauses:
-        if c.negative:
-            gone = _phrase_sql(c.words, strict) if c.phrase and len(c.words) > 1 else f"SELECT id FROM post WHERE term = {_quoted(c.words[0])}"
-            wanted = f"({wanted}) EXCEPT ({gone})"
-    return wanted
+@dataclass(frozen=True)
+class Means:
+    """What a query means, written by hand: the SQL knows nothing of the parser."""
 
+    words: tuple[str, ...] = ()
+    phrases: tuple[str, ...] = ()
+    without: tuple[str, ...] = ()
+    without_phrases: tuple[str, ...] = ()
+    where: str = "true"
 
-def filter_sql(q: Parsed, known: tuple[str, ...]) -> str:
-    """Filters on the numeric column n_chars, the texts lang and source and the array tags."""
-    tests = []
-    for f in q.filters:
-        if f.field not in known:
-            tests.append("false")
-        elif f.op == "=" and f.field == "tags":
-            tests.append("false" if not isinstance(f.value, str) else f"list_contains([lower(lang), lower(source)], {_quoted(f.value.lower())})")
-        elif f.op == "=" and isinstance(f.value, str):
-            tests.append("false" if f.field in NUMERIC else f"lower(trim({f.field})) = {_quoted(f.value.strip().lower())}")
-        elif f.field not in NUMERIC:
-            tests.append("false")
-        elif f.op == "range":
-            tests.append(" AND ".join([f"{f.field} >= {f.low}"] * (f.low is not None) + [f"{f.field} <= {f.high}"] * (f.high is not None)))
-        else:
-            tests.append(f"{f.field} {f.op} {f.value}")
-    return " AND ".join(tests) or "true"
+    @property
+    def scoring(self) -> tuple[str, ...]:
+        return tuple(dict.fromkeys([*self.words, *(w for p in self.phrases for w in p.split())]))
 
 
-NUMERIC = ("n_chars", "p_size", "p_retailprice")
-COLUMNS = {"documents": ("n_chars", "lang", "source", "tags"), "part": ("p_size", "p_retailprice", "p_brand"), "conversations": ("role",)}
+def matches_sql(m: Means, strict: bool = False) -> str:
+    having = lambda w: f"SELECT id FROM post WHERE term = {_quoted(w)}"
+    sets = [having(w) for w in m.scoring] + [_phrase_sql(tuple(p.split()), strict) for p in m.phrases]
+    wanted = " INTERSECT ".join(f"({x})" for x in sets) or "SELECT id FROM post WHERE false"
+    for gone in [having(w) for w in m.without] + [_phrase_sql(tuple(p.split()), strict) for p in m.without_phrases]:
+        wanted = f"({wanted}) EXCEPT ({gone})"
+    return wanted
 
 
-def scored_sql(q: Parsed, definition: Definition, strict: bool = False) -> str:
+def scored_sql(m: Means, definition: Definition, strict: bool = False) -> str:
     k1, b = definition.bm25.k1, definition.bm25.b
-    words = ", ".join(map(_quoted, q.scoring)) or "NULL"
+    words = ", ".join(map(_quoted, m.scoring)) or "NULL"
     return f"""SELECT p.id, sum(ln((n.n - df.df + 0.5) / (df.df + 0.5) + 1) * p.tf * ({k1} + 1) / (p.tf + {k1} * (1 - {b} + {b} * dl.dl / st.avgdl))) AS score
-FROM post p JOIN ({matches_sql(q, strict)}) m ON m.id = p.id JOIN df ON df.term = p.term JOIN dl ON dl.id = p.id CROSS JOIN st CROSS JOIN n
-WHERE p.term IN ({words}) AND p.id IN (SELECT id FROM doc WHERE {filter_sql(q, COLUMNS[TABLES[definition.name][0]])}) GROUP BY p.id"""
+FROM post p JOIN ({matches_sql(m, strict)}) m ON m.id = p.id JOIN df ON df.term = p.term JOIN dl ON dl.id = p.id CROSS JOIN st CROSS JOIN n
+WHERE p.term IN ({words}) AND p.id IN (SELECT id FROM doc WHERE {m.where}) GROUP BY p.id"""
 
 
-def search_sql(q: str, filters: str = "", definition: Definition = DOCUMENTS, page: int = 1, size: int = 20, strict: bool = False) -> str:
-    p = Page(page, size)
+def search_sql(m: Means, definition: Definition = DOCUMENTS, limit: int = 20, offset: int = 0, strict: bool = False) -> str:
     return f"""WITH {doc_cte(definition)}, {tokens_cte(definition)}
-SELECT id, round(score, 6) AS score FROM ({scored_sql(parse(q, filters), definition, strict)}) ORDER BY round(score, {search.DECIMALS}) DESC, id LIMIT {p.size} OFFSET {p.offset}"""
+SELECT id, round(score, 6) AS score FROM ({scored_sql(m, definition, strict)}) ORDER BY round(score, {search.DECIMALS}) DESC, id LIMIT {limit} OFFSET {offset}"""
 
 
 # -- queries --------------------------------------------------------------------
 
-#: name: arguments of a search, given to both the plan and the SQL.
-SEARCHES: dict[str, dict] = {
-    "search_single_term": {"q": "with"}, "search_and": {"q": "the of"}, "search_plus": {"q": "+the +and of"}, "search_must_not": {"q": "the -and"}, "search_standard_en": {"q": "this was", "definition": ENGLISH},
-    "search_stopword_en": {"q": "the", "definition": ENGLISH}, "search_unknown_term": {"q": "qqqqzzzz"}, "search_or_is_a_word": {"q": "the OR of"},
-    "search_phrase": {"q": '"of the"'}, "search_phrase3_loose": {"q": '"the of and"'}, "search_phrase3_strict": {"q": '"the of and"', "strict": True}, "search_not_phrase": {"q": 'the "-of the"'}, "search_minus_quote": {"q": 'was -"of the"'},
-    "search_phrase_and_term": {"q": '"in the" was'}, "search_weighted_fields": {"q": "steel", "definition": PARTS}, "search_weighted_fields_and": {"q": "brass steel", "definition": PARTS}, "search_keyword_term": {"q": "the src3", "definition": KEYED},
-    "search_keyword_only": {"q": "fr", "definition": KEYED}, "search_conversations": {"q": "user the", "definition": TURNS}, "search_custom_k1_b": {"q": "and is", "definition": TUNED},
-    "search_filter_eq": {"q": "the", "filters": "source:src3"}, "search_filter_eq_casefold": {"q": "the", "filters": "source:SRC3 lang:EN"}, "search_filter_eq_number": {"q": "p", "filters": "p_size:7", "definition": PARTS},
-    "search_filter_gt": {"q": "the", "filters": "n_chars>3000"}, "search_filter_gte": {"q": "the n_chars>=3000"}, "search_filter_lt": {"q": "the", "filters": "n_chars<400"}, "search_filter_lte": {"q": "the", "filters": "n_chars<=400"},
-    "search_filter_range": {"q": "the", "filters": "n_chars:1000-2000"}, "search_filter_open_range": {"q": "of", "filters": "n_chars:2500-"}, "search_filter_negated_is_positive": {"q": "the -source:src3"},
-    "search_filter_array": {"q": "the", "filters": "tags:src5 tags:en"}, "search_filter_missing_field": {"q": "the", "filters": "absent:1"}, "search_filter_number_on_text": {"q": "the", "filters": "lang>5"}, "search_filter_bad_number": {"q": "the", "filters": "n_chars>abc"},
-    "search_filter_only_empty": {"q": "", "filters": "lang:en"}, "search_only_must_not_empty": {"q": "-the"},
-    "search_page2": {"q": "the", "page": 2, "size": 10}, "search_page_past_end": {"q": "the", "page": 100000, "size": 10}, "search_page_size_clamped": {"q": "the", "page": 0, "size": 1000},
+TAGS = "list_contains([lower(lang), lower(source)], '{}')"
+#: name: (arguments of a search, what they mean, arguments of the SQL).
+SEARCHES: dict[str, tuple[dict, Means, dict]] = {
+    "search_single_term": ({"q": "with"}, Means(("with",)), {}), "search_and": ({"q": "the of"}, Means(("the", "of")), {}), "search_plus": ({"q": "+the +and of"}, Means(("the", "and", "of")), {}),
+    "search_must_not": ({"q": "the -and"}, Means(("the",), without=("and",)), {}), "search_standard_en": ({"q": "this was", "definition": ENGLISH}, Means(("this", "was")), {"definition": ENGLISH}),
+    "search_stopword_en": ({"q": "the", "definition": ENGLISH}, Means(("the",)), {"definition": ENGLISH}), "search_unknown_term": ({"q": "qqqqzzzz"}, Means(("qqqqzzzz",)), {}),
+    "search_or_is_a_word": ({"q": "the OR of"}, Means(("the", "or", "of")), {}),
+    "search_phrase": ({"q": '"of the"'}, Means(phrases=("of the",)), {}), "search_phrase3_loose": ({"q": '"the of and"'}, Means(phrases=("the of and",)), {}),
+    "search_phrase3_strict": ({"q": '"the of and"', "strict": True}, Means(phrases=("the of and",)), {"strict": True}), "search_not_phrase": ({"q": 'the "-of the"'}, Means(("the",), without_phrases=("of the",)), {}),
+    # A sign before a quote is a token of its own, without a word.
+    "search_minus_quote": ({"q": 'was -"of the"'}, Means(("was",), ("of the",)), {}),
+    "search_phrase_and_term": ({"q": '"in the" was'}, Means(("was",), ("in the",)), {}),
+    "search_weighted_fields": ({"q": "small", "definition": PARTS}, Means(("small",)), {"definition": PARTS}), "search_weighted_fields_and": ({"q": "red widget", "definition": PARTS}, Means(("red", "widget")), {"definition": PARTS}),
+    "search_keyword_term": ({"q": "the src3", "definition": KEYED}, Means(("the", "src3")), {"definition": KEYED}), "search_keyword_only": ({"q": "fr", "definition": KEYED}, Means(("fr",)), {"definition": KEYED}),
+    "search_conversations": ({"q": "user the", "definition": TURNS}, Means(("user", "the")), {"definition": TURNS}), "search_custom_k1_b": ({"q": "and is", "definition": TUNED}, Means(("and", "is")), {"definition": TUNED}),
+    "search_filter_eq": ({"q": "the", "filters": "source:src3"}, Means(("the",), where="source = 'src3'"), {}), "search_filter_eq_casefold": ({"q": "the", "filters": "source:SRC3 lang:EN"}, Means(("the",), where="source = 'src3' AND lang = 'en'"), {}),
+    "search_filter_eq_number": ({"q": "ring", "filters": "p_size:11", "definition": PARTS}, Means(("ring",), where="p_size = 11"), {"definition": PARTS}),
+    "search_filter_eq_hex_number": ({"q": "ring", "filters": "p_size:0x1.6p3", "definition": PARTS}, Means(("ring",), where="p_size = 11"), {"definition": PARTS}),
+    "search_filter_gt": ({"q": "the", "filters": "n_chars>3000"}, Means(("the",), where="n_chars > 3000"), {}), "search_filter_gte": ({"q": "the n_chars>=3000"}, Means(("the",), where="n_chars >= 3000"), {}),
+    "search_filter_lt": ({"q": "the", "filters": "n_chars<400"}, Means(("the",), where="n_chars < 400"), {}), "search_filter_lte": ({"q": "the", "filters": "n_chars<=400"}, Means(("the",), where="n_chars <= 400"), {}),
+    "search_filter_range": ({"q": "the", "filters": "n_chars:1000-2000"}, Means(("the",), where="n_chars BETWEEN 1000 AND 2000"), {}), "search_filter_open_range": ({"q": "of", "filters": "n_chars:2500-"}, Means(("of",), where="n_chars >= 2500"), {}),
+    "search_filter_negated_is_positive": ({"q": "the -source:src3"}, Means(("the",), where="source = 'src3'"), {}),
+    "search_filter_array": ({"q": "the", "filters": "tags:src5 tags:en"}, Means(("the",), where=f"{TAGS.format('src5')} AND {TAGS.format('en')}"), {}),
+    "search_filter_missing_field": ({"q": "the", "filters": "absent:1"}, Means(("the",), where="false"), {}), "search_filter_number_on_text": ({"q": "the", "filters": "lang>5"}, Means(("the",), where="false"), {}),
+    "search_filter_bad_number": ({"q": "the", "filters": "n_chars>abc"}, Means(("the",), where="n_chars > 0"), {}), "search_filter_only_empty": ({"q": "", "filters": "lang:en"}, Means(), {}), "search_only_must_not_empty": ({"q": "-the"}, Means(without=("the",)), {}),
+    "search_page2": ({"q": "the", "page": 2, "size": 10}, Means(("the",)), {"limit": 10, "offset": 10}), "search_page_past_end": ({"q": "the", "page": 100000, "size": 10}, Means(("the",)), {"limit": 10, "offset": 999990}),
+    "search_page_size_clamped": ({"q": "the", "page": 0, "size": 1000}, Means(("the",)), {"limit": 100}),
 }
 
-BATCH = ["the of", "and -the", '"of the" was', "with n_chars>2000", "is lang:en", "the source:src1", "de la", "der die", "-the", '"in the"']
+BATCH: list[tuple[str, Means]] = [
+    ("the of", Means(("the", "of"))), ("and -the", Means(("and",), without=("the",))), ('"of the" was', Means(("was",), ("of the",))), ("with n_chars>2000", Means(("with",), where="n_chars > 2000")),
+    ("is lang:en", Means(("is",), where="lang = 'en'")), ("the source:src1", Means(("the",), where="source = 'src1'")), ("de la", Means(("de", "la"))), ("der die", Means(("der", "die"))),
+    ("-the", Means(without=("the",))), ('"in the"', Means(phrases=("in the",))),
+]
 
 
 def tokenized(definition: Definition) -> Query:
@@ -216,10 +225,61 @@ def live_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.crossJoin(build.average_field_lengths(docs, DOCUMENTS)).select("n", F.round("avgdl", 6).alias("avgdl"), "field", "total", F.round("average", 6).alias("average"))
 
 
-def live_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = resolved(versions(spark, sf_dir))
-    snapshot = search.Snapshot(build.postings(docs, DOCUMENTS, ("id",)), docs, build.corpus_stats(build.lengths(docs, DOCUMENTS, ("id",))), DOCUMENTS)
-    return search.ranked(search.hits(snapshot, [parse("changed the")]), Page(1, 20)).select("id", F.round("score", 6).alias("score"))
+def segmented(spark: SparkSession, sf_dir: str, compacted: bool = False) -> Segments:
+    """An index of the four segments of ``versions``, each written by itself, with tombstones; or what a compaction makes of them."""
+    key = (spark.sparkContext.applicationId, sf_dir, f"segmented-{compacted}")
+    if key not in _built:
+        segments = Segments(spark, unique(spark, "segmented"), DOCUMENTS)
+        every = versions(spark, sf_dir)
+        for k in range(4):
+            segments.write(every.where(F.col("segment_seq") == k).drop("segment_seq"))
+        if compacted:
+            segments.compact()
+        _built[key] = segments
+    return _built[key]
+
+
+def live_search(q: str, compacted: bool = False) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return search.ranked(search.hits(segmented(spark, sf_dir, compacted).snapshot(), [parse(q)]), Page(1, 20)).select("id", F.round("score", 6).alias("score"))
+
+    return run
+
+
+def segment_list(compacted: bool) -> Query:
+    """The segments of the manifest, in their order, and what they hold."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = segmented(spark, sf_dir, compacted).segments()
+        return spark.createDataFrame([(i, s.documents, s.clean, s.length) for i, s in enumerate(own)], "place int, documents bigint, clean boolean, length bigint")
+
+    return run
+
+
+def snapshot_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live documents of a snapshot of four segments, with the segment that each comes from."""
+    return segmented(spark, sf_dir).snapshot().docs.select("id", F.col("segment_seq").alias("segment"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def snapshot_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = segmented(spark, sf_dir).snapshot()
+    return s.stats.crossJoin(F.broadcast(s.postings.agg(F.count("*").alias("postings")))).select("n", F.round("avgdl", 6).alias("avgdl"), "postings")
+
+
+def requested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments that one request of all benchmark texts is cut into, 16 documents or 400 tokens each."""
+    engine = Engine(spark, unique(spark, "requested"), config=Config(flush_max_documents=16, flush_max_postings=400, merge_interval=1.0))
+    engine.create_index({"name": "benchmark", "fields": {"text": {"type": "text"}}})
+    rows = [{"id": str(r["item_id"]), "text": r["text"]} for r in table(spark, sf_dir, "benchmark").orderBy("item_id").toLocalIterator()]  # a request's documents are the caller's
+    engine.index_request("benchmark", rows)
+    own = engine.segments("benchmark").segments()
+    return spark.createDataFrame([(i, s.documents, s.length) for i, s in enumerate(own)], "segment int, documents bigint, tokens bigint")
+
+
+REQUEST_SQL = """WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY item_id) AS i, CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS BIGINT) AS t FROM benchmark),
+f(i, segment, d, n) AS (SELECT CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+  UNION ALL SELECT f.i + 1, CASE WHEN f.d >= 16 OR f.n >= 400 THEN segment + 1 ELSE segment END, CASE WHEN f.d >= 16 OR f.n >= 400 THEN 1 ELSE d + 1 END, CASE WHEN f.d >= 16 OR f.n >= 400 THEN t ELSE n + t END
+  FROM f JOIN s ON s.i = f.i + 1)
+SELECT segment, count(*) AS documents, CAST(sum(t) AS BIGINT) AS tokens FROM f JOIN s ON s.i = f.i GROUP BY segment"""
 
 
 def postings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,12 +335,12 @@ FROM (SELECT id, ws, list_position(list_transform(ws, lambda w: {norm} IN ({word
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.ranked_each(search.hits(index(spark, sf_dir), [parse(q) for q in BATCH]), Page(1, 10))
+    found = search.ranked_each(search.hits(index(spark, sf_dir), [parse(q) for q, _ in BATCH]), Page(1, 10))
     return found.select("qid", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 6).alias("score"))
 
 
 def batch_sql() -> str:
-    each = " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS qid, id, score FROM ({scored_sql(parse(q), DOCUMENTS)})" for i, q in enumerate(BATCH))
+    each = " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS qid, id, score FROM ({scored_sql(m, DOCUMENTS)})" for i, (_, m) in enumerate(BATCH))
     return f"""WITH {doc_cte(DOCUMENTS)}, {tokens_cte(DOCUMENTS)},
 every AS ({each}), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, {search.DECIMALS}) DESC, id) AS rank FROM every)
 SELECT qid, rank, id, round(score, 6) AS score FROM r WHERE rank <= 10"""
@@ -307,9 +367,11 @@ SELECT segment, count(*) AS documents, CAST(sum(t) AS BIGINT) AS tokens FROM f J
 
 def merge_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each language, whether segments as large as its sources should be merged."""
-    sizes = table(spark, sf_dir, "documents").groupBy("lang", "source").count()
-    told = sizes.groupBy("lang").agg(F.count("*").alias("segments"), F.count_if(F.col("count") < SMALL).alias("small"))
-    return told.withColumn("merge", (F.col("segments") > 1) & ((F.col("segments") >= 4) | (F.col("small") >= 2)))
+    sizes: dict[str | None, list[Segment]] = {}
+    for r in table(spark, sf_dir, "documents").groupBy("lang", "source").count().collect():  # a row for each source of a language
+        sizes.setdefault(r["lang"], []).append(Segment("s", 0, r["count"], True))
+    told = [(lang, len(own), sum(s.documents < SMALL for s in own), should_merge(own)) for lang, own in sizes.items()]
+    return spark.createDataFrame(told, "lang string, segments bigint, small bigint, merge boolean")
 
 
 def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,6 +392,10 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(search.hits(engine.snapshot("documents"), [parse("the of")]), Page(1, 20)).select("id", F.round("score", 6).alias("score"))
 
 
+def live_sql(*words: str) -> str:
+    return f"WITH {VERSIONS_SQL}, {tokens_cte(DOCUMENTS)} SELECT id, round(score, 6) AS score FROM ({scored_sql(Means(words), DOCUMENTS)}) ORDER BY round(score, {search.DECIMALS}) DESC, id LIMIT 20"
+
+
 OTHERS: dict[str, tuple[Query, str]] = {
     "tokenize_standard": (tokenized(DOCUMENTS), tokenized_sql(DOCUMENTS)), "tokenize_standard_en": (tokenized(ENGLISH), tokenized_sql(ENGLISH)), "tokenize_keyword": (tokenized(KEYED), tokenized_sql(KEYED)),
     "inverted_postings": (postings_summary, f"WITH {doc_cte(DOCUMENTS)}, {tokens_cte(DOCUMENTS)} SELECT term, id, tf, np AS n_positions, CAST(ats[1] AS BIGINT) AS first_position FROM post"),
@@ -338,25 +404,30 @@ OTHERS: dict[str, tuple[Query, str]] = {
     "doc_lengths": (doc_lengths, f"WITH {doc_cte(KEYED)}, {tokens_cte(KEYED)} SELECT doc.id, coalesce(dl, 0) AS dl FROM doc LEFT JOIN dl ON dl.id = doc.id"),
     "corpus_stats": (stats, f"WITH {doc_cte(KEYED)}, {tokens_cte(KEYED)} SELECT n, round(avgdl, 6) AS avgdl FROM n CROSS JOIN st"),
     "avg_field_length": (field_lengths, f"WITH {doc_cte(PARTS)}, {tokens_cte(PARTS)} SELECT field, count(*) AS total, round(count(*) / any_value(n.n), 6) AS average FROM tok CROSS JOIN n GROUP BY field"),
-    "search_total_hits": (total_hits, f"WITH {doc_cte(DOCUMENTS)}, {tokens_cte(DOCUMENTS)} SELECT count(*) AS total FROM ({scored_sql(parse('the -and', 'n_chars>500'), DOCUMENTS)})"),
-    "search_all_hits": (all_hits, f"WITH {doc_cte(DOCUMENTS)}, {tokens_cte(DOCUMENTS)} SELECT id, round(score, 6) AS score FROM ({scored_sql(parse('the of'), DOCUMENTS)})"),
-    "search_highlight": (highlighted, f"WITH {doc_cte(DOCUMENTS)}, {tokens_cte(DOCUMENTS)}, r AS (SELECT * FROM ({scored_sql(parse('with the'), DOCUMENTS)}) ORDER BY round(score, {search.DECIMALS}) DESC, id LIMIT 20), s AS ({snippet_sql(chr(39) + 'with' + chr(39) + ', ' + chr(39) + 'the' + chr(39))}) SELECT r.id, round(score, 6) AS score, snippet FROM r LEFT JOIN s ON s.id = r.id"),
+    "search_total_hits": (total_hits, f"WITH {doc_cte(DOCUMENTS)}, {tokens_cte(DOCUMENTS)} SELECT count(*) AS total FROM ({scored_sql(Means(('the',), without=('and',), where='n_chars > 500'), DOCUMENTS)})"),
+    "search_all_hits": (all_hits, f"WITH {doc_cte(DOCUMENTS)}, {tokens_cte(DOCUMENTS)} SELECT id, round(score, 6) AS score FROM ({scored_sql(Means(('the', 'of')), DOCUMENTS)})"),
+    "search_highlight": (highlighted, f"WITH {doc_cte(DOCUMENTS)}, {tokens_cte(DOCUMENTS)}, r AS (SELECT * FROM ({scored_sql(Means(('with', 'the')), DOCUMENTS)}) ORDER BY round(score, {search.DECIMALS}) DESC, id LIMIT 20), s AS ({snippet_sql(chr(39) + 'with' + chr(39) + ', ' + chr(39) + 'the' + chr(39))}) SELECT r.id, round(score, 6) AS score, snippet FROM r LEFT JOIN s ON s.id = r.id"),
     "snippets": (snippets, f"WITH {doc_cte(DOCUMENTS)} {snippet_sql(chr(39) + 'of' + chr(39) + ', ' + chr(39) + 'la' + chr(39) + ', ' + chr(39) + 'und' + chr(39))}"),
     "multi_query_batch": (batch, batch_sql()),
     "segment_live_docs": (live, f"WITH {VERSIONS_SQL} SELECT id, seq AS segment, md5(text) AS digest FROM doc"),
     "segment_stats_rebuild": (live_stats, f"WITH {VERSIONS_SQL}, {tokens_cte(DOCUMENTS)} SELECT n, round(avgdl, 6) AS avgdl, 'text' AS field, (SELECT count(*) FROM tok) AS total, round((SELECT count(*) FROM tok) / n, 6) AS average FROM n CROSS JOIN st"),
-    "segment_search": (live_search, f"WITH {VERSIONS_SQL}, {tokens_cte(DOCUMENTS)} SELECT id, round(score, 6) AS score FROM ({scored_sql(parse('changed the'), DOCUMENTS)}) ORDER BY round(score, {search.DECIMALS}) DESC, id LIMIT 20"),
+    "segment_search": (live_search("changed the"), live_sql("changed", "the")), "segment_search_again": (live_search("again"), live_sql("again")), "compacted_search": (live_search("changed the", True), live_sql("changed", "the")),
+    "segment_snapshot_docs": (snapshot_documents, f"WITH {VERSIONS_SQL} SELECT id, seq AS segment, md5(text) AS digest FROM doc"),
+    "segment_snapshot_stats": (snapshot_stats, f"WITH {VERSIONS_SQL}, {tokens_cte(DOCUMENTS)} SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM post) AS postings FROM n CROSS JOIN st"),
+    "segment_manifest": (segment_list(False), f"WITH {VERSIONS_SQL.split('doc AS (')[0].rstrip().rstrip(',')}, t AS (SELECT seq, dead, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS k FROM v) SELECT seq AS place, count(*) AS documents, NOT bool_or(dead) AS clean, CAST(sum(k) AS BIGINT) AS length FROM t GROUP BY seq"),
+    "compacted_manifest": (segment_list(True), f"WITH {VERSIONS_SQL}, {tokens_cte(DOCUMENTS)} SELECT 0 AS place, n AS documents, true AS clean, (SELECT count(*) FROM tok) AS length FROM n"),
+    "ingest_request_flush": (requested, REQUEST_SQL),
     "segment_flush_by_docs": (flushed, "SELECT CAST((rn - 1) // 512 AS INTEGER) AS segment, count(*) AS documents FROM (SELECT row_number() OVER (ORDER BY doc_id) AS rn FROM documents) GROUP BY 1"),
     "segment_flush_by_tokens": (flushed_by_tokens, FLUSH_SQL),
     "merge_policy": (merge_policy, "WITH s AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), t AS (SELECT lang, count(*) AS segments, count(*) FILTER (n < 10) AS small FROM s GROUP BY lang) SELECT *, segments > 1 AND (segments >= 4 OR small >= 2) AS merge FROM t"),
     "ingest_validation_errors": (validation, "SELECT CASE WHEN doc_id % 7 = 0 THEN 'document has no id' WHEN doc_id % 11 = 0 THEN 'document id is empty' ELSE 'none' END AS error, count(*) AS documents FROM documents GROUP BY 1"),
-    "stream_ingest_search": (streamed, search_sql("the of")),
+    "stream_ingest_search": (streamed, search_sql(Means(("the", "of")))),
 }
 
 
 def queries() -> dict[str, Query]:
-    return {name: searching(**kw) for name, kw in SEARCHES.items()} | {name: q for name, (q, _) in OTHERS.items()}
+    return {name: searching(**kw) for name, (kw, _, _) in SEARCHES.items()} | {name: q for name, (q, _) in OTHERS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: search_sql(**kw) for name, kw in SEARCHES.items()} | {name: sql for name, (_, sql) in OTHERS.items()}
+    return {name: search_sql(m, **kw) for name, (_, m, kw) in SEARCHES.items()} | {name: sql for name, (_, sql) in OTHERS.items()}

@@ -152,13 +152,14 @@ def ranked_each(found: DataFrame, page: Page) -> DataFrame:
 
 
 def with_source(index: Snapshot, page: DataFrame, query: Parsed) -> DataFrame:
-    """A page's hits with their documents and highlights, both for these few rows alone."""
+    """A page's hits with their documents and highlights, both made above the join, for these few rows alone."""
     docs = index.docs
     texts = [n for n, f in sorted(index.definition.fields.items()) if f.type == TEXT and n in docs.columns and isinstance(kind(docs, n), T.StringType)]
     hidden = {"segment_id", "segment_seq", "ordinal"}
     shown = [F.col(f"`{c}`") for c in docs.columns if c not in hidden]
-    full = docs.select(F.col("id"), F.struct(*shown).alias("source"), highlights([(n, column(docs, n)) for n in texts], query.scoring).alias("highlights"))
-    return page.join(full, "id").select("id", "score", "highlights", "source")
+    few = F.broadcast(page.select(F.col("id").alias("__hit"), F.col("score").alias("__score")))  # a page has at most 100 rows
+    joined = docs.join(few, docs["id"] == F.col("__hit"))
+    return joined.select("id", F.col("__score").alias("score"), highlights([(n, column(docs, n)) for n in texts], query.scoring).alias("highlights"), F.struct(*shown).alias("source"))
 
 
 def words(clause: str) -> Clause:

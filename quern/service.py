@@ -19,7 +19,6 @@ class Service:
     def handle(self, method: str, target: str, body: bytes = b"") -> tuple[int, object]:
         began, url = time.time(), urlsplit(target)
         path, params = url.path.rstrip("/"), {k: v[0] for k, v in parse_qs(url.query).items()}
-        self.engine.counters["http_requests_total"] += 1
         try:
             status, payload = self._route(method, path, params, body)
         except IndexMissing as e:
@@ -28,9 +27,14 @@ class Service:
             status, payload = e.status, {"error": str(e)}
         except (ValueError, KeyError, TypeError) as e:
             status, payload = 400, {"error": str(e)}
-        self.engine.counters["http_request_duration_ms"] += int((time.time() - began) * 1000)
+        # Labels are routes, not names: as many as there are routes.
+        parts = path.strip("/").split("/")
+        route = "/" + "/".join("{index}" if i == 2 and parts[:2] == ["v1", "indexes"] else p for i, p in enumerate(parts)) if status != 404 else "other"
+        labels = {"method": method, "path": route, "status": status}
+        self.engine.metrics.count("http_requests_total", **labels)
+        self.engine.metrics.observe("http_request_duration_ms", (time.time() - began) * 1000, **labels)
         if status >= 400:
-            self.engine.counters["http_errors_total"] += 1
+            self.engine.metrics.count("http_errors_total", **labels)
         return status, payload
 
     def _route(self, method: str, path: str, params: dict[str, str], body: bytes) -> tuple[int, object]:
@@ -39,9 +43,11 @@ class Service:
             case ("GET", ["health" | "healthz"]):
                 return 200, {"status": "ok"}
             case ("GET", ["ready" | "readyz"]):
-                return (200, {"status": "ready"}) if e.ready() else (503, {"status": "not ready"})
+                told = e.ready()
+                status = 200 if told.pop("ready") else 503
+                return status, {"status": "ready" if status == 200 else "initializing", "lastStatus": status, **told}
             case ("GET", ["metrics"]):
-                return (200, dict(e.counters)) if e.config.metrics else (404, {"error": "metrics are off"})
+                return 200, e.metrics.text() if e.config.metrics else {"enabled": False}
             case ("POST", ["v1", "indexes"]):
                 return 201, e.create_index(json.loads(body)).to_dict()
             case ("GET", ["v1", "indexes"]):
@@ -53,9 +59,9 @@ class Service:
             case ("POST", ["v1", "indexes", name, "documents"]):
                 e.get_index(name)
                 rows = json.loads(body)["documents"]
-                lines = [json.dumps(r) for r in rows]
-                docs = e.spark.read.json(e.spark.sparkContext.parallelize(lines))
-                done = e.index_documents(name, docs)
+                if not isinstance(rows, list):
+                    raise ValueError("documents isn't a list")
+                done = e.index_request(name, rows)
                 return (200 if done.indexed else 400), {"indexed": done.indexed, "segmentIds": list(done.segment_ids), "errors": list(done.errors)}
             case ("GET", ["v1", "search"]):
                 index, q = params.get("index", ""), params.get("q", "")
@@ -68,16 +74,18 @@ class Service:
 
 
 def serve(engine: Engine) -> ThreadingHTTPServer:
-    """A server on the configured address; call ``serve_forever`` on it."""
+    """A server on the configured address, with merging in the background; call ``serve_forever`` on it."""
     service = Service(engine)
+    engine.start_merging()
 
     class Handler(BaseHTTPRequestHandler):
         def _answer(self) -> None:
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
             status, payload = service.handle(self.command, self.path, body)
-            data = json.dumps(payload, default=str).encode()
+            plain = isinstance(payload, str)
+            data = (payload if plain else json.dumps(payload, default=str)).encode()
             self.send_response(status)
-            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Type", "text/plain; version=0.0.4" if plain else "application/json")
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()
             self.wfile.write(data)

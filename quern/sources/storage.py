@@ -7,6 +7,7 @@ import json
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from typing import Any
 
@@ -71,6 +72,14 @@ class Files:
     def make(self, path: str) -> None:
         self._fs.mkdirs(self._path(path))
 
+    def size(self, path: str) -> int:
+        """Bytes of a file, or of all in a folder."""
+        return int(self._fs.getContentSummary(self._path(path)).getLength())
+
+    def age(self, path: str) -> float:
+        """Seconds since a file or folder was changed."""
+        return time.time() - self._fs.getFileStatus(self._path(path)).getModificationTime() / 1000
+
     def remove(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 

@@ -20,7 +20,7 @@ def ingest(engine: Engine, name: str, stream: DataFrame, checkpoint: str, compac
         if engine.segments(name).manifest()["applied"] >= batch_id:
             return
         engine.index_documents(name, docs, segment_id=f"batch-{batch_id:06d}", applied=batch_id)
-        if compact:
+        if compact and not engine.merger:
             engine.compact_if_due(name)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

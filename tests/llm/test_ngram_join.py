@@ -54,6 +54,40 @@ def test_large_components_are_joined_in_stretches(spark, monkeypatch):
     assert found == brute(rows, 5, 0.4).keys()
 
 
+def brute_classes(rows, n, t):
+    """One (class, links) for each id: links between texts of different ids, classes also through texts without an id."""
+    texts = sorted({(i, x) for i, x in rows}, key=str)
+    sets = [(i, frozenset(gram_set(x, n).tolist())) for i, x in texts]
+    sets = list(dict.fromkeys(s for s in sets if s[1]))
+    group, links = list(range(len(sets))), {i: 0 for i, _ in rows if i is not None}
+    for p, (i, a) in enumerate(sets):
+        for q, (j, b) in enumerate(sets[:p]):
+            alike = len(a & b) / len(a | b) >= t - 1e-12
+            if alike and i is not None and j is not None and i != j:
+                links[i] += 1
+                links[j] += 1
+            if alike or i is not None and i == j:
+                group = [group[q] if g == group[p] else g for g in group]
+    least = {}
+    for (i, _), g in zip(sets, group):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    of = {i: least[g] for (i, _), g in zip(sets, group) if i is not None}
+    return {i: (of.get(i, i), k) for i, k in links.items()}
+
+
+@pytest.mark.parametrize("n, t", [(5, 0.4), (2, 0.5)])
+def test_classes_equal_brute_force(spark, monkeypatch, n, t):
+    rows = corpus(7) + ODD + [(1, corpus(7)[5][1]), (1, "w1 w2 w3 w4 w5 w6"), (2, corpus(7)[6][1])]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, class_id string")
+    found = {r["doc_id"]: (r["class_id"], r["links"]) for r in N.classes(docs, n, t).collect()}
+    assert found == brute_classes(rows, n, t)
+    monkeypatch.setattr(N, "BROADCAST_ROWS", 3)  # larger ones are joined by a shuffle
+    monkeypatch.setattr(N, "STRETCH", 600)
+    assert {r["doc_id"]: (r["class_id"], r["links"]) for r in N.classes(docs, n, t).collect()} == found
+    assert found[900] == (900, 0) and N.classes(docs.limit(0)).count() == 0
+
+
 def test_an_id_with_two_texts(spark):
     rows = [(1, "a b c d e f"), (1, "p q r s t u"), (2, "a b c d e f"), (3, "p q r s t u v")]
     found = {(r["doc_a"], r["doc_b"]): round(r["jaccard"], 3) for r in N.pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

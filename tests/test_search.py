@@ -1,9 +1,11 @@
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import analysis
+from quern.functions.values import number
 from quern.operators import build
 from quern.operators.predicates import predicate
 from quern.plans.parser import Page, parse
@@ -101,7 +103,7 @@ def test_filters_on_odd_values(spark):
 
     assert rows("s:7") == [False, True, False, False, False]
     assert rows("s:5") == [False] * 5
-    assert rows("s>6") == [False, True, False, False, False]
+    assert rows("s>6") == [False, True, False, False, True] and rows("s:8") == [False] * 4 + [True]
     assert rows("x>4") == [False, True, True, False, False]
     assert rows("x:nan") == [False] * 5
     assert rows("x:4-6") == [True, True, False, False, False]
@@ -142,14 +144,70 @@ def test_versions_tombstones_and_compaction(spark, tmp_path):
     assert {i for i, _ in run(s.snapshot(version=1), "fox")} == {"1", "2"} and run(s.snapshot(version=1), "blue") == []
 
 
+def test_hexadecimal_literals(spark):
+    texts = ["0x1p3", "-0X1.8P1", " 0x.8p0 ", "0x10p-4", "0x0p9", "0x1p99999", "0x1p-1074", "0x1.fffffffffffffp1023", "0xp1", "0x1", "0x123456789abcdp-3", "+0x00001p+2", "0x1.8"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = [r[0] for r in df.select(number(F.col("s"), df.schema["s"].dataType)).collect()]
+    assert got == [8.0, -3.0, 0.5, 1.0, 0.0, None, 5e-324, float.fromhex("0x1.fffffffffffffp1023"), None, None, float.fromhex("0x123456789abcdp-3"), 4.0, None]
+
+
+def test_three_writers_lose_nothing(spark, tmp_path):
+    d = Definition("v", {"t": Field("text")})
+
+    def work(k):
+        own = Segments(spark, str(tmp_path), d)
+        for i in range(2):
+            own.write(spark.createDataFrame([(f"{k}-{i}-{j}", "word") for j in range(10)], "id string, t string"))
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(work, range(3)))
+    s = Segments(spark, str(tmp_path), d)
+    own = s.segments()
+    assert len(own) == 6 and [x.seq for x in own] == list(range(6)) and sum(x.documents for x in own) == 60
+    assert hits(s.snapshot(), [parse("word")]).count() == 60
+
+
+def test_two_compactions_are_one(spark, tmp_path, monkeypatch):
+    """The later one finds what it merged gone, and does nothing but clean up."""
+    one, other = (Segments(spark, str(tmp_path), Definition("v", {"t": Field("text")})) for _ in range(2))
+    for i in range(2):
+        one.write(spark.createDataFrame([(f"{i}-{j}", "word") for j in range(20)], "id string, t string"))
+    commit = one.replace
+
+    def late(*args):
+        other.compact()
+        monkeypatch.setattr(one, "replace", commit)
+        return commit(*args)
+
+    monkeypatch.setattr(one, "replace", late)
+    assert one.compact() is None
+    assert [x.documents for x in one.segments()] == [40] and one.snapshot().postings.count() == 40
+    assert hits(one.snapshot(), [parse("word")]).count() == 40
+    assert one.vacuum() == 0 and one.vacuum(grace=-60) >= 6 and hits(one.snapshot(), [parse("word")]).count() == 40
+
+
+def test_a_batch_is_applied_once(spark, tmp_path):
+    s = Segments(spark, str(tmp_path), Definition("v", {"t": Field("text")}))
+    batch = spark.createDataFrame([("1", "word")], "id string, t string")
+    assert s.write(batch, 3, "batch-3").seq == 0 and s.write(batch, 3, "batch-3") is None
+    assert s.write(batch, 4, "batch-3").seq == 0 and len(s.segments()) == 1, "a named segment keeps its place"
+    assert s.manifest()["bytes"] > 0 and hits(s.snapshot(), [parse("word")]).count() == 1
+
+
+def test_highlights_are_made_above_the_join(three):
+    q = parse("quick fox")
+    plan = with_source(three, ranked(hits(three, [q]), Page()).drop("qid"), q)._jdf.queryExecution().optimizedPlan().toString()
+    assert "<em>" in plan.split("Join Inner")[0] and "<em>" not in plan.split("Join Inner", 1)[1]
+
+
 def test_compaction_keeps_what_came_meanwhile(spark, tmp_path):
     s = Segments(spark, str(tmp_path), Definition("v", {"t": Field("text")}))
     for i in "12":
         s.write(spark.createDataFrame([(i, "a")], "id string, t string"))
-    before = [x.id for x in s.segments()]
-    s.write(spark.createDataFrame([("3", "a")], "id string, t string"))
-    s.replace(before, Segment("merged", 1, 2, True))
-    assert [x.id for x in s.segments()] == ["merged", "seg-000002"]
+    before = s.segments()
+    later = s.write(spark.createDataFrame([("3", "a")], "id string, t string"))
+    assert s.replace(before, Segment("merged", 1, 2, True)) and [x.id for x in s.segments()] == ["merged", later.id]
+    assert not s.replace(before, Segment("again", 1, 2, True)) and [x.id for x in s.segments()] == ["merged", later.id]
 
 
 def test_empty_index(spark, tmp_path):
