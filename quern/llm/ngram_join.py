@@ -7,7 +7,8 @@ each that are left. Sets linked by such meetings form components. A component, o
 is large, is joined in one task by a prefix tree: sets, ordered by one global
 order, lie in a trie; a walk through it carries the partial overlaps of all
 probing sets at once, and leaves a subtree as soon as what remains can't lift
-any of them to the threshold.
+any of them to the threshold. For classes and links a task tells no pairs, but
+what they come to: a sum for each set, and the edges of a spanning forest.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ STRETCH, LEAST = 1 << 18, 1 << 9
 STRIDE = 64
 #: N-grams of a bucket in which their frequencies are counted, on average.
 BUCKET_GRAMS = 1 << 20
-#: Rows up to this many, of six numbers each, are joined to the texts by broadcast.
+#: Rows up to this many, of eleven numbers each, are joined to the texts by broadcast.
 BROADCAST_ROWS = 500_000
+#: What a summed row ``(kind, a, b)`` says: sets a and b are of one class; a has b links more; both are marked and similar.
+EDGE, LINKS, MARKED = 0, 1, 2
 
 
 def needed(n: int, t: float) -> int:
@@ -286,24 +289,50 @@ def join_block(left: list[np.ndarray], right: list[np.ndarray] | None, t: float)
     return found
 
 
-def join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(members, similar, folders): which set each row has, and which distinct sets are similar.
-
-    members: ``(doc_id, mark, fp, n)`` of rows with a word. similar:
-    ``(a, b, jaccard)``, fingerprints with a < b, each pair once. The folders
-    hold written tables and can be removed when the results have been used.
+def summed(pairs: list[tuple[int, int, float]], fps: np.ndarray, sizes: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(kind, a, b)`` of the pairs of one block: links of each set, edges that connect what pairs connect, pairs of marked sets."""
+    i, j = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+    links = np.zeros(len(fps), np.int64)
+    np.add.at(links, i, sizes[j])
+    np.add.at(links, j, sizes[i])
+    root = np.arange(len(fps))
+    while True:
+        lower = root.copy()
+        np.minimum.at(lower, i, root[j])
+        np.minimum.at(lower, j, root[i])
+        lower = lower[lower]
+        if (lower == root).all():
+            break
+        root = lower
+    to, some, both = np.flatnonzero(root != np.arange(len(fps))), np.flatnonzero(links), marked[i] & marked[j]
+    kind = np.repeat([EDGE, LINKS, MARKED], [len(to), len(some), int(both.sum())])
+    return kind, np.concatenate([fps[to], fps[some], fps[i[both]]]), np.concatenate([fps[root[to]], links[some], fps[j[both]]])
+
+
+def members_of(docs: DataFrame, n: int) -> DataFrame:
+    """``(doc_id, mark, fp, n)`` of ``sets``, written: which set each row with a word has."""
+    importable(docs.sparkSession)
+    return written(sets(docs, n), "members")[0]
+
+
+def join(docs: DataFrame, members: DataFrame, n: int, t: float, sums: bool, marks: DataFrame | None = None) -> DataFrame:
+    """Which of the distinct sets of ``members_of`` are similar.
+
+    ``(a, b, jaccard)``: fingerprints with a < b, each pair once. With
+    ``sums``, instead, ``(kind, a, b)`` as ``summed`` has them for each block,
+    where a set has as many links to another as that one has ids, and
+    ``marks`` (fp) are the marked sets.
     """
     spark = docs.sparkSession
-    importable(spark)
-    members, at_members = written(sets(docs, n), "members")
     edges, at_edges = written(links(docs, n, t, members.agg(F.sum("n")).first()[0] or 0), "links")
     nodes, at_nodes = components(edges)
     remove(spark, at_edges)
     # One row of each set stands for it: that of the least mark, then id.
-    first = members.join(nodes, members.fp == nodes.node).groupBy("fp", "comp", "n").agg(F.min(F.struct("mark", "doc_id")).alias("of"))
+    first = members.join(nodes, members.fp == nodes.node).groupBy("fp", "comp", "n").agg(F.min(F.struct("mark", "doc_id")).alias("of"), (F.count_distinct("doc_id") if sums else F.lit(1)).cast("bigint").alias("size"))
+    first = first.join(marks.select("fp", F.lit(True).alias("marked")), "fp", "left") if marks is not None else first.withColumn("marked", F.lit(False))
     # The sets of a component, in the order of their sizes, in stretches.
     upto = Window.partitionBy("comp").orderBy("n", "fp").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = first.select("fp", "comp", "n", F.col("of.mark").alias("mark"), F.col("of.doc_id").alias("of_id"), F.floor(F.sum(F.greatest("n", F.lit(LEAST))).over(upto) / STRETCH).cast("int").alias("part"))
+    chosen = first.select("fp", "comp", "n", "size", F.coalesce("marked", F.lit(False)).alias("marked"), F.col("of.mark").alias("mark"), F.col("of.doc_id").alias("of_id"), F.floor(F.sum(F.greatest("n", F.lit(LEAST))).over(upto) / STRETCH).cast("int").alias("part"))
     chosen, at_chosen = written(chosen, "chosen")
     parts = chosen.groupBy("comp", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     other = parts.select(F.col("comp").alias("comp2"), F.col("part").alias("part2"), "least")
@@ -314,41 +343,44 @@ def join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame,
     if routed.count() <= BROADCAST_ROWS:
         routed = F.broadcast(routed)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
-    picked = texts.join(routed, "mark").where(F.col("doc_id").eqNullSafe(F.col("of_id"))).select("comp", "p1", "p2", "side", "fp", "text")
+    picked = texts.join(routed, "mark").where(F.col("doc_id").eqNullSafe(F.col("of_id"))).select("comp", "p1", "p2", "side", "fp", "size", "marked", "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = pa.array([gram_set(x, n).tobytes() for x in _texts(b, "text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), own], names=["comp", "p1", "p2", "side", "fp", "grams"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(7)), own], names=["comp", "p1", "p2", "side", "fp", "size", "marked", "grams"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
-
-        def close(group: dict[int, dict[int, np.ndarray]]) -> pa.RecordBatch:
+        def close(group: dict[int, dict[int, tuple[np.ndarray, int, bool]]]) -> pa.RecordBatch:
             left, right = group[0], group[1]
+            found = join_block([x[0] for x in left.values()], [x[0] for x in right.values()] if right else None, t) if left else []
+            if sums:
+                _, sizes, marked = zip(*left.values(), *right.values())
+                offset = len(left) if right else 0
+                kind, x, y = summed([(i, j + offset, s) for i, j, s in found], np.array([*left, *right], np.int64), np.array(sizes, np.int64), np.array(marked, bool))
+                return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["kind", "a", "b"])
             fa, fb = list(left), list(right) if right else list(left)
-            found = join_block(list(left.values()), list(right.values()) if right else None, t) if left else []
             return pa.RecordBatch.from_arrays([
                 pa.array([min(fa[i], fb[j]) for i, j, _ in found], pa.int64()), pa.array([max(fa[i], fb[j]) for i, j, _ in found], pa.int64()), pa.array([x for *_, x in found], pa.float64()),
-            ], schema=schema)
+            ], names=["a", "b", "jaccard"])
 
         key, group = None, {0: {}, 1: {}}
         for b in batches:
             c = b.to_pydict()
-            for comp, p1, p2, side, fp, raw in zip(*(c[k] for k in ("comp", "p1", "p2", "side", "fp", "grams"))):
+            for comp, p1, p2, side, fp, size, marked, raw in zip(*(c[k] for k in b.schema.names)):
                 if (comp, p1, p2) != key:
                     if key is not None:
                         yield close(group)
                     key, group = (comp, p1, p2), {0: {}, 1: {}}
-                group[side][fp] = np.frombuffer(raw, np.uint64)
+                group[side][fp] = np.frombuffer(raw, np.uint64), size, marked
         if key is not None:
             yield close(group)
 
-    carried = picked.mapInArrow(grams, "comp bigint, p1 int, p2 int, side int, fp bigint, grams binary")
+    carried = picked.mapInArrow(grams, "comp bigint, p1 int, p2 int, side int, fp bigint, size bigint, marked boolean, grams binary")
     carried = carried.repartition(partitions(spark), "comp", "p1", "p2").sortWithinPartitions("comp", "p1", "p2", "side", "fp")
-    similar, at_similar = written(carried.mapInArrow(blocks, "a bigint, b bigint, jaccard double"), "similar")
+    similar, _ = written(carried.mapInArrow(blocks, "kind int, a bigint, b bigint" if sums else "a bigint, b bigint, jaccard double"), "similar")
     remove(spark, at_chosen, at_routed, *at_nodes)
-    return members, similar, [at_members, at_similar]
+    return similar
 
 
 def pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
@@ -359,7 +391,8 @@ def pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     index, and never with itself. Other columns don't matter. An empty table
     gives no pairs.
     """
-    members, similar, _ = join(docs, n, t)
+    members = members_of(docs, n)
+    similar = join(docs, members, n, t, sums=False)
     ids = members.where("doc_id IS NOT NULL")
     once = ids.groupBy("doc_id").agg(F.count_distinct("fp").alias("k")).where("k > 1").isEmpty()
     # Lists of ids travel, and are spread out at the end.
@@ -381,8 +414,8 @@ def one_of_each(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     rows that agree in both, one. Rows without a word (null and empty texts)
     are all kept: nothing shows that they are copies.
     """
-    members, similar, _ = join(docs, n, t)
-    nodes, _ = components(similar.select("a", "b"))
+    members = members_of(docs, n)
+    nodes, _ = components(join(docs, members, n, t, sums=True).where(F.col("kind") == EDGE).select("a", "b"))
     name, mark, id_, count = fresh(docs, "group", "mark", "id", "nth")
     group = members.join(nodes, members.fp == nodes.node, "left").select("doc_id", "mark", F.coalesce("comp", "fp").alias("g"))
     best = group.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("m"))
@@ -406,23 +439,25 @@ def classes(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     text) has no links and is a class of its own. Null ids give no row. Other
     columns don't matter. An empty table gives none.
     """
-    members, similar, _ = join(docs, n, t)
+    members = members_of(docs, n)
     own = members.where("doc_id IS NOT NULL").select("doc_id", "fp").distinct()
-    size = own.groupBy("fp").agg(F.count("*").alias("size"))
-    both = similar.select("a", "b").union(similar.select("b", "a"))
-    around = both.join(size.toDF("b", "size"), "b").groupBy("a").agg(F.sum("size").alias("around"))
-    sets_ = size.join(around.withColumnRenamed("a", "fp"), "fp", "left").select("fp", (F.col("size") + F.coalesce("around", F.lit(0))).alias("reach"))
     several = own.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("fp").alias("first")).where("k > 1")
     # Links between the texts of one id aren't links to others; they are few, as few ids have several texts.
-    many = own.join(several, "doc_id").select("doc_id", "fp", "first")
+    many, _ = written(own.join(several, "doc_id").select("doc_id", "fp", "first"), "several")
+    told = join(docs, members, n, t, sums=True, marks=many.select("fp").distinct())
+    around = told.where(F.col("kind") == LINKS).groupBy(F.col("a").alias("fp")).agg(F.sum("b").alias("around"))
+    size = own.groupBy("fp").agg(F.count("*").alias("size"))
+    sets_ = size.join(around, "fp", "left").select("fp", (F.col("size") + F.coalesce("around", F.lit(0))).alias("reach"))
+    marked = told.where(F.col("kind") == MARKED)
+    both = marked.select("a", "b").union(marked.select("b", "a"))
     inner = many.select("doc_id", F.col("fp").alias("a")).join(both, "a").join(many.select("doc_id", F.col("fp").alias("b")), ["doc_id", "b"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("inner"))
-    nodes, _ = components(similar.select("a", "b").union(many.where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))))
+    nodes, _ = components(told.where(F.col("kind") == EDGE).select("a", "b").union(many.where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))))
     placed = own.join(sets_, "fp").join(nodes, own.fp == nodes.node, "left").select("doc_id", "reach", F.coalesce("comp", "fp").alias("class"))
     each = placed.groupBy("doc_id").agg(F.sum(F.col("reach") - 1).cast("bigint").alias("links"), F.min("class").alias("class"))
     least = placed.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    told = each.join(least, "class").join(inner, "doc_id", "left").select("doc_id", "class_id", (F.col("links") - F.coalesce("inner", F.lit(0))).alias("links"))
+    found = each.join(least, "class").join(inner, "doc_id", "left").select("doc_id", "class_id", (F.col("links") - F.coalesce("inner", F.lit(0))).alias("links"))
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    return ids.join(told, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
