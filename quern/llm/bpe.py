@@ -8,7 +8,10 @@ Such a configuration is a state of a transducer. Tokens on which all open
 readings agree are emitted at once, so that what waits is never longer than
 the longest token. States and transitions are made when first met and dropped
 altogether when there are too many, as lazy automata for regular expressions
-do. Frequent pieces are remembered whole, within a bound.
+do. Frequent pieces are remembered whole, within a bound. The short pieces
+that a portion of texts brings are read together: sorted, they are paths
+through a tree, whose nodes are the states, each made once and held only along
+the path that is being read.
 
 Decoding. Tokens are bytes and may end inside a character. Tokens that are
 whole characters are joined as text; from the first that isn't, bytes pass
@@ -26,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +44,8 @@ PIECES, TRANSITIONS, HISTORIES, PAIRS = 400_000, 400_000, 400_000, 400_000
 #: Bytes of the filter that tells whether a transition was asked for before.
 ASKED = 1 << 22
 LONG = 64
+#: Bytes of texts that are cut and encoded at a time; the last text of a portion may be longer, and is always whole.
+PORTION = 2_000_000
 #: Bits of a reading that hold its node.
 _SHIFT = 24
 _NODES = (1 << _SHIFT) - 1
@@ -123,6 +129,7 @@ class Encoder:
     def __init__(self, path: str = VOCABULARY):
         self.vocabulary = Vocabulary(path)
         self.cut = regex.compile(PATTERN).findall
+        self.size = list(map(len, self.vocabulary.bytes))
         self.pairs: dict[int, bool] = {}
         self.pieces = _Pieces(self)
         inner = {key >> 8 for key in self.vocabulary.child}
@@ -252,6 +259,66 @@ class Encoder:
         left = self.history[-1 - state] if state < 0 else self._whole(self.states[state])  # the reading that ends here
         return out + list(left[1])
 
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Remember the tokens of pieces of at most ``LONG`` characters.
+
+        In their order, pieces are paths through a tree, and each node of it is
+        one state: its readings are held along the path, so that what pieces
+        begin with is read once. There a reading is the token before it and
+        its node; the tokens up to it are found on the path, from the end.
+        """
+        child, ends, goes_on, size = self.vocabulary.child.get, self.vocabulary.token, self.goes_on, self.size
+        pairs, may_follow, keep = self.pairs, self.may_follow, self.pieces.keep
+        states: list[list[int]] = [[0]]  # of what `last` begins with, by its length; a token before is its number and 1
+        token: list[int] = [-1]  # the last one of that
+        last = b""
+        for piece in sorted(pieces):  # in the order of their bytes, too
+            raw, at = piece.encode("utf-8", "surrogatepass"), 0
+            for x, y in zip(raw, last):
+                if x != y:
+                    break
+                at += 1
+            del states[at + 1 :], token[at + 1 :]
+            readings = states[at]
+            for byte in raw[at:]:
+                new, here = [], -1
+                for r in readings:
+                    node = child((r & _NODES) << 8 | byte)
+                    if node is None:
+                        continue
+                    if here < 0 and (t := ends[node]) >= 0:
+                        before = (r >> _SHIFT) - 1
+                        if before < 0:
+                            here = t
+                        else:
+                            known = pairs.get(before << 32 | t)
+                            if known or known is None and may_follow(before, t):
+                                here = t
+                    if goes_on[node]:
+                        new.append(r & ~_NODES | node)
+                new.append(here + 1 << _SHIFT)
+                readings = new
+                states.append(new)
+                token.append(here)
+            last, at, out = raw, len(raw), []
+            while at:
+                out.append(token[at])
+                at -= size[token[at]]
+            keep(piece, tuple(out[::-1]))
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The tokens of each text; pieces that are new are read together."""
+        cut = [self.cut(t) if t else [] for t in texts]
+        known, new = self.pieces, []
+        for p in set(chain.from_iterable(cut)):
+            if p not in known and len(p) <= LONG:
+                if (tokens := known.old.get(p)) is None:
+                    new.append(p)
+                else:
+                    known.keep(p, tokens)
+        self.learn(new)
+        return [np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.int32) for pieces in cut]
+
     def encode(self, text: str | None) -> np.ndarray:
         """The tokens of a text; of null as of an empty one, none."""
         if not text:
@@ -266,15 +333,18 @@ class _Pieces(dict):
         self.encoder = encoder
         self.old: dict[str, tuple[int, ...]] = {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def keep(self, piece: str, tokens: tuple[int, ...]) -> None:
         if len(self) > PIECES // 2:
             self.old = dict(self)
             self.clear()
+        self[piece] = tokens
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
         tokens = self.old.get(piece)
         if tokens is None:
             tokens = tuple(self.encoder.transduce(piece.encode("utf-8", "surrogatepass")))
         if len(piece) <= LONG:
-            self[piece] = tokens
+            self.keep(piece, tokens)
         return tokens
 
 
@@ -378,6 +448,16 @@ def _decoded(path: str) -> list[str | None]:
     return out
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, in their order, in portions whose texts (the second column) have ``PORTION`` bytes or little more."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(size, (size[at - 1] if at else 0) + PORTION)) + 1
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def encode(docs: DataFrame, path: str = VOCABULARY, verify: bool = True) -> DataFrame:
     """``(doc_id, tokens, n_tokens, exact)`` for every row: its whole text's tokens, and whether they decode to it.
 
@@ -391,10 +471,10 @@ def encode(docs: DataFrame, path: str = VOCABULARY, verify: bool = True) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder_of(path)
         decoder = Decoder(path)
-        for b in batches:
+        for b in chain.from_iterable(map(portions, batches)):
             texts = b.column(1).to_pylist()
             with _uncollected():
-                own = [e.encode(t) for t in texts]
+                own = e.encode_all(texts)
             size = np.array([len(x) for x in own], np.int64)
             flat = np.concatenate([*own, np.zeros(0, np.int32)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))

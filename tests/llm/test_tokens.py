@@ -183,3 +183,49 @@ def test_orc_metadata_prunes(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan()
     read = int(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(plan.collectLeaves()).get(0).metrics().get("numOutputRows").get().value()) if not plan.toString().startswith("Adaptive") else 0
     assert read <= 5_000
+
+
+def test_new_pieces_of_a_portion_are_read_together(reference):
+    """What they begin with is read once; no states or histories are left of them."""
+    rng, e = random.Random(8), bpe.Encoder()
+    words = ["internationalisation" + "".join(rng.choice("aeinorst") for _ in range(rng.randrange(1, 5))) for _ in range(3_000)]
+    docs = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)] + texts(300, 7) + [None, "", "café café"]
+    asked = [0]
+
+    class Counted(dict):
+        def get(self, *args):
+            asked[0] += 1
+            return dict.get(self, *args)
+
+    e.vocabulary.child = Counted(e.vocabulary.child)
+    together = [x.tolist() for x in e.encode_all(docs)]
+    assert together == [reference.encode_ordinary(t or "") for t in docs]
+    pieces = {p.encode() for t in docs for p in e.cut(t or "")}
+    nodes = len({p[: i + 1] for p in pieces for i in range(len(p))})
+    assert asked[0] < 6 * nodes < 2 * sum(map(len, pieces))
+    assert len(e.states) == len(e.history) == 1 and not e.move
+    asked[0] = 0
+    assert [x.tolist() for x in e.encode_all(docs)] == together and not asked[0]  # all remembered
+    long = "x" * 500 + " " + "ab" * 40
+    assert e.encode_all([long])[0].tolist() == reference.encode_ordinary(long)
+
+
+def test_learning_forgets_within_bounds(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECES", 20)
+    monkeypatch.setattr(bpe, "PAIRS", 30)
+    small, docs = bpe.Encoder(), texts(200, 2)
+    for at in range(0, 200, 7):
+        assert [x.tolist() for x in small.encode_all(docs[at : at + 7])] == [reference.encode_ordinary(t) for t in docs[at : at + 7]]
+        assert len(small.pieces) + len(small.pieces.old) <= 24 and len(small.pairs) <= 32
+
+
+def test_a_batch_is_encoded_in_portions(monkeypatch):
+    """No more texts at a time than a portion's bytes ask for; all rows, in order, long ones whole."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "PORTION", 10)
+    rows = ["abcd", None, "", "abcdefgh", "x" * 100, "é" * 5, "y", None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows)], names=["doc_id", "text"])
+    cut = [b.column(1).to_pylist() for b in bpe.portions(batch.slice(1))]
+    assert cut == [rows[1:5], rows[5:6], rows[6:]] and sum(cut, []) == rows[1:]
+    assert not list(bpe.portions(batch.slice(0, 0)))
