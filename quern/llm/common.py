@@ -7,11 +7,15 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
+#: Bytes of rows that a Python worker gets at a time in ``small_batches``.
+BATCH_BYTES = 8 << 20
 _own: dict[str, str] = {}
 _made: list[str] = []
 
@@ -24,6 +28,19 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([PACKAGE_ROOT, *paths])
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs begun in it give Python workers ``BATCH_BYTES`` at a time, or what is set where that is less: rows of long texts then take no more memory than short ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, named by ``spark.checkpoint.dir``.
 

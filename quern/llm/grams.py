@@ -26,6 +26,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+#: Bytes of a text that are hashed at a time: a long one takes little more memory than its words' hashes.
+PORTION = 1 << 18
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,16 +40,29 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(text: str | None) -> np.ndarray:
-    """The hash of each word, in the order of the text: differences of a rolling hash over its bytes."""
+    """The hash of each word, in the order of the text: differences of a rolling hash over portions of whole words.
+
+    A word's hash doesn't depend on where in a portion it lies; one longer than a portion is added up from pieces.
+    """
     raw = np.frombuffer((text or "").lower().encode("utf-8", "replace"), np.uint8)
-    edge = np.flatnonzero(np.diff(_KEEP[raw].astype(np.int8), prepend=0, append=0))
-    if not len(edge):
-        return np.zeros(0, np.uint64)
-    power, inverse = _power(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * power[: len(raw)], out=sums[1:])
+    edge = np.flatnonzero(np.diff(_KEEP[raw].view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     start, end = edge[::2], edge[1::2]
-    return mix((sums[end] - sums[start]) * inverse[start])
+    out = np.zeros(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        a = start[at]
+        to = max(at + 1, int(np.searchsorted(end, a + PORTION, "right")))
+        b = end[to - 1]
+        power, inverse = _power(int(min(b - a, PORTION)))
+        if b - a > PORTION:
+            pieces = (int((_BYTE[raw[p : min(b, p + PORTION)]] * power[: min(b - p, PORTION)]).sum()) * pow(_BASE, int(p - a), 1 << 64) for p in range(a, b, PORTION))
+            out[at] = sum(pieces) % (1 << 64)
+        else:
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(_BYTE[raw[a:b]] * power[: b - a], out=sums[1:])
+            out[at:to] = (sums[end[at:to] - a] - sums[start[at:to] - a]) * inverse[start[at:to] - a]
+        at = to
+    return mix(out)
 
 
 def gram_set(text: str | None, n: int) -> np.ndarray:

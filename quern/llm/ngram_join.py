@@ -13,7 +13,7 @@ what they come to: a sum for each set, and the edges of a spanning forest.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, importable, partitions, remove, table, written
+from quern.llm.common import fresh, importable, partitions, remove, small_batches, table, written
 from quern.llm.graphs import components
 from quern.llm.grams import WORD, gram_set
 
@@ -30,10 +30,14 @@ THRESHOLD = 0.4
 #: N-grams of one component that are joined in one piece, and as how many a set counts at least; larger
 #: components are joined by pairs of such stretches, so that a task's memory is bounded.
 STRETCH, LEAST = 1 << 18, 1 << 9
+#: Steps of the logarithm of a set's size, which says whether sets that meet can be similar.
+LOG = 1000
 #: Ranks between two of a probe's remaining counts.
 STRIDE = 64
 #: N-grams of a bucket in which their frequencies are counted, on average.
 BUCKET_GRAMS = 1 << 20
+#: Texts and n-grams that are worked on at a time; more only where one text has more.
+SLICE_TEXTS, SLICE_GRAMS = 2000, 1 << 20
 #: Rows up to this many, of eleven numbers each, are joined to the texts by broadcast.
 BROADCAST_ROWS = 500_000
 #: What a summed row ``(kind, a, b)`` says: sets a and b are of one class; a has b links more; both are marked and similar.
@@ -60,8 +64,18 @@ def fingerprint(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
-def _texts(batch: pa.RecordBatch, name: str) -> list[str | None]:
-    return batch.column(batch.schema.names.index(name)).to_pylist()
+def _grams(texts: Iterable[pa.StringScalar], n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The n-gram sets of the texts, in slices of ``SLICE_TEXTS`` and ``SLICE_GRAMS``: from which text on, and the sets."""
+    first, own, size = 0, [], 0
+    for i, text in enumerate(texts):
+        g = gram_set(text.as_py(), n)
+        if own and (len(own) == SLICE_TEXTS or size + len(g) > SLICE_GRAMS):
+            yield first, own
+            first, own, size = i, [], 0
+        own.append(g)
+        size += len(g)
+    if own:
+        yield first, own
 
 
 def sets(docs: DataFrame, n: int) -> DataFrame:
@@ -69,12 +83,11 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [gram_set(t, n) for t in _texts(b, "text")]
-            keep = [i for i, g in enumerate(own) if len(g)]
-            picked = b.take(pa.array(keep, pa.int64()))
+            told = [(first + i, fingerprint(g), len(g)) for first, own in _grams(b.column("text"), n) for i, g in enumerate(own) if len(g)]
+            picked = b.select(["doc_id", "mark"]).take(pa.array([i for i, *_ in told], pa.int64()))
             yield pa.RecordBatch.from_arrays([
                 picked.column(0).cast(pa.int64()), picked.column(1),
-                pa.array([fingerprint(own[i]) for i in keep], pa.int64()), pa.array([len(own[i]) for i in keep], pa.int64()),
+                pa.array([fp for _, fp, _ in told], pa.int64()), pa.array([size for *_, size in told], pa.int64()),
             ], names=["doc_id", "mark", "fp", "n"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id bigint, mark bigint, fp bigint, n bigint")
@@ -92,13 +105,13 @@ def links(docs: DataFrame, n: int, t: float, grams: int) -> DataFrame:
     ``grams`` tells how many n-grams all sets have; the buckets follow from it.
     """
     buckets = max(2 * partitions(docs.sparkSession), -(-grams // BUCKET_GRAMS))
+    reach = int(np.ceil(LOG * np.log(1 / t))) + 1  # logarithms of the sizes of similar sets, cut to integers, differ by no more
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per batch and bucket of n-grams one row: keys, which of the sets, the sets' fingerprints."""
-        for b in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
+        """Per slice and bucket of n-grams one row: keys, which of the sets, the sets' fingerprints."""
+        for _, own in _grams((x for b in batches for x in b.column("text")), n):
             keys, which, fps, sizes, seen = [], [], [], [], set()
-            for text in _texts(b, "text"):
-                g = gram_set(text, n)
+            for g in own:
                 fp = fingerprint(g)
                 if not len(g) or fp in seen:
                     continue
@@ -116,10 +129,10 @@ def links(docs: DataFrame, n: int, t: float, grams: int) -> DataFrame:
             start, count = _runs(bucket[order])
             rows = []
             for s, c in zip(start, count):
-                own = order[s : s + c]
-                docs_here, idx = np.unique(which[own], return_inverse=True)
+                of = order[s : s + c]
+                docs_here, idx = np.unique(which[of], return_inverse=True)
                 kind = np.uint16 if len(docs_here) < 65536 else np.uint32
-                rows.append((int(bucket[own[0]]), pack(key[own]), idx.astype(kind).tobytes(), fps[docs_here].tobytes()))
+                rows.append((int(bucket[of[0]]), pack(key[of]), idx.astype(kind).tobytes(), fps[docs_here].tobytes()))
             owner = (fps.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
             for o in np.unique(owner):  # the sizes go straight to where the sets are judged
                 rows.append((int(-1 - o), b"", sizes[owner == o].tobytes(), fps[owner == o].tobytes()))
@@ -161,7 +174,7 @@ def links(docs: DataFrame, n: int, t: float, grams: int) -> DataFrame:
         """Per bucket of sets: which have enough n-grams of frequency two or more, and their rarest ones."""
         cols = rows.to_pydict()
         own = [i for i, b in enumerate(cols["bucket"]) if b >= 0]
-        empty = pa.table({"bucket": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "fps": pa.array([], pa.binary())})
+        empty = pa.table({"bucket": pa.array([], pa.int32()), **{k: pa.array([], pa.binary()) for k in ("keys", "fps", "logs")}})
         if not own:
             return empty
         told = [i for i, b in enumerate(cols["bucket"]) if b < 0]
@@ -177,29 +190,32 @@ def links(docs: DataFrame, n: int, t: float, grams: int) -> DataFrame:
         least = np.array([needed(int(k), t) for k in n_of])
         allowed = np.maximum(0, c - least + 1)
         rank = np.arange(len(fp)) - np.repeat(start, c)
-        kept = order[rank < np.repeat(allowed, c)]
+        few = rank < np.repeat(allowed, c)
+        kept, log = order[few], np.repeat((np.log(n_of) * LOG).astype(np.uint16), c)[few]
         if not len(kept):
             return empty
-        kept = kept[np.argsort(bucket[kept], kind="stable")]
+        by = np.argsort(bucket[kept], kind="stable")
+        kept, log = kept[by], log[by]
         start, c = _runs(bucket[kept])
         cut = [kept[s : s + k] for s, k in zip(start, c)]
-        return pa.table({"bucket": pa.array([int(bucket[x[0]]) for x in cut], pa.int32()), "keys": pa.array([pack(key[x]) for x in cut], pa.binary()), "fps": pa.array([fp[x].tobytes() for x in cut], pa.binary())})
+        return pa.table({"bucket": pa.array([int(bucket[x[0]]) for x in cut], pa.int32()), "keys": pa.array([pack(key[x]) for x in cut], pa.binary()), "fps": pa.array([fp[x].tobytes() for x in cut], pa.binary()), "logs": pa.array([log[s : s + k].tobytes() for s, k in zip(start, c)], pa.binary())})
 
     def meet(rows: pa.Table) -> pa.Table:
-        """Per bucket of n-grams, each set linked to the least one that it meets."""
+        """Per bucket of n-grams, each set linked to the least one that it meets, where a chain of sizes that similar sets can have leads to it."""
         cols = rows.to_pydict()
         key = np.concatenate([unpack(k) for k in cols["keys"]]) if rows.num_rows else np.zeros(0, np.uint64)
-        fp = np.concatenate([np.frombuffer(f, np.int64) for f in cols["fps"]]) if rows.num_rows else np.zeros(0, np.int64)
-        order = np.lexsort((fp, key))
-        key, fp = key[order], fp[order]
-        start, c = _runs(key)
-        a = np.repeat(fp[start], c) if len(fp) else fp
+        fp, log = (np.concatenate([np.frombuffer(x, kind) for x in cols[k]]) if rows.num_rows else np.zeros(0, kind) for k, kind in (("fps", np.int64), ("logs", np.uint16)))
+        order = np.lexsort((log, key))
+        key, fp, log = key[order], fp[order], log[order].astype(np.int64)
+        # A set between two similar ones in size is near enough to both, so that no similar pair is cut apart.
+        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (np.diff(log) > reach)])) if len(fp) else np.zeros(0, int)
+        a = np.repeat(np.minimum.reduceat(fp, start), np.diff(np.append(start, len(fp)))) if len(fp) else fp
         both = np.unique(np.stack([a, fp], 1)[a != fp], axis=0)
         return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
 
     posted = docs.select("text").mapInArrow(post, "bucket int, keys binary, idx binary, fps binary")
     counted = posted.groupBy("bucket").applyInArrow(count, "owner int, bucket int, fps binary, keys binary, freq binary")
-    judged = counted.groupBy("owner").applyInArrow(judge, "bucket int, keys binary, fps binary")
+    judged = counted.groupBy("owner").applyInArrow(judge, "bucket int, keys binary, fps binary, logs binary")
     return judged.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
@@ -312,7 +328,8 @@ def summed(pairs: list[tuple[int, int, float]], fps: np.ndarray, sizes: np.ndarr
 def members_of(docs: DataFrame, n: int) -> DataFrame:
     """``(doc_id, mark, fp, n)`` of ``sets``, written: which set each row with a word has."""
     importable(docs.sparkSession)
-    return written(sets(docs, n), "members")[0]
+    with small_batches(docs.sparkSession):
+        return written(sets(docs, n), "members")[0]
 
 
 def join(docs: DataFrame, members: DataFrame, n: int, t: float, sums: bool, marks: DataFrame | None = None) -> DataFrame:
@@ -324,7 +341,8 @@ def join(docs: DataFrame, members: DataFrame, n: int, t: float, sums: bool, mark
     ``marks`` (fp) are the marked sets.
     """
     spark = docs.sparkSession
-    edges, at_edges = written(links(docs, n, t, members.agg(F.sum("n")).first()[0] or 0), "links")
+    with small_batches(spark):
+        edges, at_edges = written(links(docs, n, t, members.agg(F.sum("n")).first()[0] or 0), "links")
     nodes, at_nodes = components(edges)
     remove(spark, at_edges)
     # One row of each set stands for it: that of the least mark, then id.
@@ -347,8 +365,9 @@ def join(docs: DataFrame, members: DataFrame, n: int, t: float, sums: bool, mark
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = pa.array([gram_set(x, n).tobytes() for x in _texts(b, "text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(7)), own], names=["comp", "p1", "p2", "side", "fp", "size", "marked", "grams"])
+            for first, own in _grams(b.column("text"), n):
+                rows = b.slice(first, len(own))
+                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(7)), pa.array([g.tobytes() for g in own], pa.binary())], names=["comp", "p1", "p2", "side", "fp", "size", "marked", "grams"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(group: dict[int, dict[int, tuple[np.ndarray, int, bool]]]) -> pa.RecordBatch:
@@ -378,7 +397,8 @@ def join(docs: DataFrame, members: DataFrame, n: int, t: float, sums: bool, mark
 
     carried = picked.mapInArrow(grams, "comp bigint, p1 int, p2 int, side int, fp bigint, size bigint, marked boolean, grams binary")
     carried = carried.repartition(partitions(spark), "comp", "p1", "p2").sortWithinPartitions("comp", "p1", "p2", "side", "fp")
-    similar, _ = written(carried.mapInArrow(blocks, "kind int, a bigint, b bigint" if sums else "a bigint, b bigint, jaccard double"), "similar")
+    with small_batches(spark):
+        similar, _ = written(carried.mapInArrow(blocks, "kind int, a bigint, b bigint" if sums else "a bigint, b bigint, jaccard double"), "similar")
     remove(spark, at_chosen, at_routed, *at_nodes)
     return similar
 

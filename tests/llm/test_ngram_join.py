@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from quern.llm import common, grams
 from quern.llm import ngram_join as N
 from quern.llm.grams import gram_set, words
 
@@ -130,3 +131,36 @@ def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 8), (8, 7), (7, 9), (6, 6)], "a long, b long")
     nodes, _ = N.components(e)
     assert {(r["node"], r["comp"]) for r in nodes.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (7, 7), (8, 7), (9, 7)}
+
+
+def test_a_long_text_is_hashed_in_portions(monkeypatch):
+    text = " ".join(WORDS * 40) + " " + "é" * 30_000 + " end"
+    want = words(text)
+    monkeypatch.setattr(grams, "_powers", (np.ones(1, np.uint64), np.ones(1, np.uint64)))
+    monkeypatch.setattr(grams, "PORTION", 1000)
+    assert words(text).tolist() == want.tolist() and len(want) == 16_002
+    assert words("w7")[0] == want[7] and words("é" * 30_000)[0] == want[-2]
+    assert len(grams._powers[0]) <= 4096
+
+
+def test_slices_are_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(N, "SLICE_GRAMS", 500)
+    monkeypatch.setattr(common, "BATCH_BYTES", 2000)
+    rows = corpus(7) + ODD
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert {(r["doc_a"], r["doc_b"]) for r in N.pairs(docs, 5, 0.4).collect()} == brute(rows, 5, 0.4).keys()
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    texts = spark.createDataFrame(rows, "doc_id long, text string").toArrow().column("text")
+    for _, own in N._grams(texts, 5):
+        assert len(own) == 1 or sum(map(len, own)) <= 500
+
+
+def test_sets_of_sizes_too_different_arent_linked(spark):
+    rng = random.Random(9)
+    short = [" ".join(f"{rng.random()}" for _ in range(30)) for _ in range(40)]
+    near = [x + " more" for x in short[:5]]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate([*short, *near, " ".join(short)])], "doc_id long, text string")
+    mixed = N.links(docs, 5, 0.4, 10_000).collect()  # the long text shares every n-gram of the short ones
+    fp = [N.fingerprint(gram_set(x, 5)) for x in [*short, *near]]
+    assert {(r["a"], r["b"]) for r in mixed} == {(min(fp[k], fp[40 + k]), max(fp[k], fp[40 + k])) for k in range(5)}
