@@ -2,7 +2,7 @@
 
     docs/F/…                   all columns of the documents, and ordinal
     postings/F/term_bucket=B/…  term, id, ordinal, dl, tf, positions
-    versions/F/…               id, ordinal, dead, dl: what decides which documents are live
+    versions/F/…                id, ordinal, dead, dl: what decides which documents are live
     manifests/vN.json          the segments of version N, in their order, and their folders F
     live/vN.json               where the live versions of N are, and its statistics
 
@@ -25,10 +25,13 @@ from pyspark.sql import functions as F
 from quern.operators import build
 from quern.plans.search import BUCKETS, Snapshot, local
 from quern.sources.catalog import Definition
-from quern.sources.storage import Files
+from quern.sources.storage import Files, open_folders
 
 #: Segments of fewer documents are small: two of them are worth merging.
 SMALL = 10
+#: Bytes of a row group of postings; a task has one open for each folder.
+ROW_GROUP = 16 << 20
+VERSIONS = "id string, ordinal bigint, dead boolean, dl bigint"
 #: Seconds for which ``vacuum`` keeps what no manifest names.
 GRACE = 24 * 3600
 
@@ -146,23 +149,24 @@ class Segments:
         return next(iter(self.add([self.written(docs, segment_id)], applied)), None)
 
     def written(self, docs: DataFrame, segment_id: str | None = None) -> Segment:
-        """The files of a segment, which is in no manifest yet. A document is tokenised once."""
+        """The files of a segment, which is in no manifest yet. A document is tokenised once, and what is made of it isn't shuffled."""
         folder = f"{segment_id or 'seg'}-{uuid.uuid4().hex[:12]}"
-        at = {kind: f"{self.root}/{kind}/{folder}" for kind in ("docs", "postings", "versions", "tokens")}
+        at = {kind: f"{self.root}/{kind}/{folder}" for kind in ("docs", "postings", "versions")}
         if "ordinal" not in docs.columns:
             docs = docs.withColumn("ordinal", F.monotonically_increasing_id())
         docs.drop(*[c for c in ("segment_id", "segment_seq") if c in docs.columns]).write.option("compression", "zstd").parquet(at["docs"])
         stored = self.spark.read.parquet(at["docs"])
         deleted = F.coalesce(F.col("_deleted"), F.lit(False)) if dict(stored.dtypes).get("_deleted") == "boolean" else F.lit(False)
-        build.tokenised(stored.withColumn("dead", deleted), self.definition, ("id", "ordinal", "dead")).write.parquet(at["tokens"])
-        tokens = self.spark.read.parquet(at["tokens"])
-        tokens.select("id", "ordinal", "dead", "dl").write.option("compression", "zstd").parquet(at["versions"])
-        rows = build.gathered(tokens, ("id", "ordinal")).withColumn("term_bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int"))
-        # Partitions follow the size: small buckets are written together, a large one, as that of a common word, by many tasks.
-        # Sorted by term in each file, so that row groups are skipped.
-        rows.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term", "id").write.option("compression", self.compression).partitionBy("term_bucket").parquet(at["postings"])
-        self.files.remove(at["tokens"])
-        told = self.spark.read.parquet(at["versions"]).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.coalesce(F.max("dead"), F.lit(False)).alias("dead"), F.count_if(F.col("dl") > 0).alias("termed"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
+        keys = {"dead": deleted, "id": F.col("id").cast("string"), "ordinal": F.col("ordinal").cast("bigint")}
+        rows = build.indexed(stored.withColumns(keys), self.definition, ("id", "ordinal", "dead"), BUCKETS)
+        # Each task writes a file to each folder, in runs sorted by term, so that pages are skipped.
+        with open_folders(self.spark, BUCKETS + 1):
+            rows.write.option("compression", self.compression).option("parquet.block.size", ROW_GROUP).partitionBy("term_bucket").parquet(at["postings"])
+        if self.files.exists(itself := f"{at['postings']}/term_bucket={build.ITSELF}"):
+            self.files.move(itself, at["versions"])
+        else:
+            self.files.make(at["versions"])
+        told = self.spark.read.schema(VERSIONS).parquet(at["versions"]).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.coalesce(F.max("dead"), F.lit(False)).alias("dead"), F.count_if(F.col("dl") > 0).alias("termed"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
         return Segment(segment_id or folder, -1, told["n"], told["n"] == told["ids"] and not told["dead"], told["termed"], told["length"], folder, self.files.size(at["docs"]))
 
     # -- reading ------------------------------------------------------------
@@ -183,7 +187,7 @@ class Segments:
         """
         note = f"{self.root}/live/v{version:010d}.json"
         if not self.files.exists(note):
-            parts = [self.spark.read.parquet(f"{self.root}/versions/{s.folder}").withColumn("segment_seq", F.lit(s.seq)) for s in segments]
+            parts = [self.spark.read.schema(VERSIONS).parquet(f"{self.root}/versions/{s.folder}").withColumn("segment_seq", F.lit(s.seq)) for s in segments]
             every = reduce(lambda a, b: a.union(b), parts)
             last = Window.partitionBy("id").orderBy(F.desc("segment_seq"), F.desc("ordinal"))
             rows = every.withColumn("nth", F.row_number().over(last)).where((F.col("nth") == 1) & ~F.col("dead"))

@@ -9,6 +9,8 @@ import shutil
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -38,6 +40,18 @@ def unique(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def open_folders(spark: SparkSession, most: int) -> Iterator[None]:
+    """Tables of up to ``most`` folders written in it are written to all of these at a time, and aren't sorted by folder first."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, most + 1)  # a task that reaches this number sorts what is left
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def publish(fs: Any, beside: Any, path: Any) -> bool:
     """Give a written file its name; false, and nothing changed, where another has it.
 
@@ -80,6 +94,10 @@ class Files:
         """Seconds since a file or folder was changed."""
         return time.time() - self._fs.getFileStatus(self._path(path)).getModificationTime() / 1000
 
+    def move(self, path: str, to: str) -> None:
+        if not self._fs.rename(self._path(path), self._path(to)):
+            raise OSError(f"{path} can't be moved to {to}")
+
     def remove(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 

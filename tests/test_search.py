@@ -9,7 +9,7 @@ from quern.functions.values import number
 from quern.operators import build
 from quern.operators.predicates import predicate
 from quern.plans.parser import Page, parse
-from quern.plans.search import hits, ranked, ranked_each, with_source
+from quern.plans.search import bucket, hits, ranked, ranked_each, with_source
 from quern.sources.catalog import Definition, Field
 from quern.sources.segments import Segment, Segments, resolved, should_merge
 
@@ -220,3 +220,37 @@ def test_empty_index(spark, tmp_path):
 def test_resolved_takes_the_later_row_of_a_segment(spark):
     rows = spark.createDataFrame([("a", 0, 1, "x"), ("a", 0, 2, "y")], "id string, segment_seq int, ordinal int, t string")
     assert [r["t"] for r in resolved(rows).collect()] == ["y"]
+
+
+def test_postings_are_written_without_a_shuffle_or_a_sort(spark, tmp_path):
+    """What is moved or sorted would be rows of single words, several times the documents, which spill as these grow."""
+    told = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = told().size()
+    s = Segments(spark, str(tmp_path), Definition("v", {"t": Field("text")}))
+    s.write(spark.createDataFrame([(str(i), f"word w{i} w{i % 7}") for i in range(200)], "id string, t string"))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [told().apply(i).physicalPlanDescription() for i in range(before, told().size())]
+    writing = [p for p in plans if "/postings/" in p]
+    assert writing and not any(x in p for p in writing for x in ("Exchange", "Sort ", "Sort\n"))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None) is None
+    assert hits(s.snapshot(), [parse("w6")]).count() == 28 and s.segments()[0].length == 600
+
+
+def test_postings_gathered_in_portions(spark, monkeypatch):
+    """Fields' positions in one order, repeated and empty words, whatever the portions; a document's own row tells its length."""
+    monkeypatch.setattr(build, "GATHERED", 5)
+    monkeypatch.setattr(build, "HANDED", 2)
+    rows = [(str(i), " ".join(f"a{j % 3}" for j in range(i)), "a1 a0", ["A1", "", None] if i % 2 else None) for i in range(9)]
+    d = Definition("g", {"one": Field("text", 2.0), "two": Field("text"), "tags": Field("keyword", 0.5)})
+    found = build.indexed(spark.createDataFrame(rows, "id string, one string, two string, tags array<string>"), d, ("id",), 16).collect()
+    expected = {}
+    for i, one, two, tags in rows:
+        for field, w in ((one.split(), 2.0), (two.split(), 1.0), (["a1"] if tags else [], 0.5)):
+            for pos, t in enumerate(field):
+                expected.setdefault((i, t), []).append((pos, w))
+    of = lambda x: (sum(w for _, w in x), sorted(p for p, _ in x))
+    assert {(r["id"], r["term"]): (r["tf"], r["positions"]) for r in found if r["term"]} == {k: of(x) for k, x in expected.items()}
+    itself = [r for r in found if r["term"] is None]
+    assert {r["id"]: r["dl"] for r in itself} == {i: sum(len(x) for (k, _), x in expected.items() if k == i) for i, *_ in rows} and len(itself) == 9
+    assert all(r["term_bucket"] == bucket(r["term"]) for r in found if r["term"]) and {r["term_bucket"] for r in itself} == {build.ITSELF}
