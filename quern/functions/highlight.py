@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,15 +11,23 @@ AROUND = 3
 _EDGES = ",.!?:;"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def snippet(text: Column, terms: Sequence[str]) -> Column:
     """Up to seven words of a text, or null where no word is one of the terms."""
-    words = F.filter(F.split(text, "(?U)\\s+"), lambda w: w != "")
     matches = lambda w: F.lower(F.btrim(w, F.lit(_EDGES))).isin(list(terms))
-    first = F.array_position(F.transform(words, matches), True)
-    start = F.greatest(first - AROUND, F.lit(1)).cast("int")
-    size = (F.least(first + AROUND, F.size(words)) - start + 1).cast("int")
-    window = F.transform(F.slice(words, start, size), lambda w: F.when(matches(w), F.concat(F.lit("<em>"), w, F.lit("</em>"))).otherwise(w))
-    return F.when(F.coalesce(first, F.lit(0)) > 0, F.array_join(window, " "))
+
+    def around(words: Column, first: Column) -> Column:
+        start = F.greatest(first - AROUND, F.lit(1)).cast("int")
+        size = (F.least(first + AROUND, F.size(words)) - start + 1).cast("int")
+        window = F.transform(F.slice(words, start, size), lambda w: F.when(matches(w), F.concat(F.lit("<em>"), w, F.lit("</em>"))).otherwise(w))
+        return F.when(F.coalesce(first, F.lit(0)) > 0, F.array_join(window, " "))
+
+    found = lambda words: _once(F.array_position(F.transform(words, matches), True), lambda first: around(words, first))
+    return _once(F.filter(F.split(text, "(?U)\\s+"), lambda w: w != ""), found)
 
 
 def highlights(fields: Sequence[tuple[str, Column]], terms: Sequence[str]) -> Column:

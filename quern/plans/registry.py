@@ -323,9 +323,9 @@ def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The snippet of every document that has one."""
-    docs = source_of(spark, sf_dir, DOCUMENTS).select("id", snippet(F.col("text"), ["of", "la", "und"]).alias("snippet"))
-    return docs.where(F.col("snippet").isNotNull())
+    """The snippet of every document that has one; spread out of an array, so that it isn't made for a filter and then again."""
+    made = F.array_compact(F.array(snippet(F.col("text"), ["of", "la", "und"])))
+    return source_of(spark, sf_dir, DOCUMENTS).select("id", F.explode(made).alias("snippet"))
 
 
 def snippet_sql(words: str, text: str = "text") -> str:

@@ -8,6 +8,7 @@ from quern.functions import analysis
 from quern.functions.values import number
 from quern.operators import build
 from quern.operators.predicates import predicate
+from quern.plans import registry
 from quern.plans.parser import Page, parse
 from quern.plans.search import bucket, hits, ranked, ranked_each, with_source
 from quern.sources.catalog import Definition, Field
@@ -254,3 +255,11 @@ def test_postings_gathered_in_portions(spark, monkeypatch):
     itself = [r for r in found if r["term"] is None]
     assert {r["id"]: r["dl"] for r in itself} == {i: sum(len(x) for (k, _), x in expected.items() if k == i) for i, *_ in rows} and len(itself) == 9
     assert all(r["term_bucket"] == bucket(r["term"]) for r in found if r["term"]) and {r["term_bucket"] for r in itself} == {build.ITSELF}
+
+
+def test_a_text_is_split_once_for_its_snippet(spark, tmp_path):
+    texts = ["one two three four of, five six seven eight la", "Und so", "none", "", None]
+    spark.createDataFrame([(i, t, "en", "src1", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.snippets(spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
+    assert {r["id"]: r["snippet"] for r in found.collect()} == {"0": "two three four <em>of,</em> five six seven", "1": "<em>Und</em> so"}
