@@ -7,6 +7,7 @@ import json
 import os
 import shutil
 import tempfile
+import threading
 import time
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 _own: dict[str, str] = {}
+_lock, _writing, _before = threading.Lock(), [], []
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -44,12 +46,18 @@ def unique(spark: SparkSession, name: str) -> str:
 def open_folders(spark: SparkSession, most: int) -> Iterator[None]:
     """Tables of up to ``most`` folders written in it are written to all of these at a time, and aren't sorted by folder first."""
     name = "spark.sql.maxConcurrentOutputFileWriters"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, most + 1)  # a task that reaches this number sorts what is left
+    with _lock:
+        if not _writing:
+            _before[:] = [spark.conf.get(name, None)]
+        _writing.append(name)
+        spark.conf.set(name, most + 1)  # a task that reaches this number sorts what is left
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        with _lock:
+            _writing.pop()
+            if not _writing:  # the last of several writers at a time
+                spark.conf.unset(name) if _before[0] is None else spark.conf.set(name, _before[0])
 
 
 def publish(fs: Any, beside: Any, path: Any) -> bool:

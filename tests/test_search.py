@@ -226,13 +226,12 @@ def test_resolved_takes_the_later_row_of_a_segment(spark):
 def test_postings_are_written_without_a_shuffle_or_a_sort(spark, tmp_path):
     """What is moved or sorted would be rows of single words, several times the documents, which spill as these grow."""
     told = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    before = told().size()
     s = Segments(spark, str(tmp_path), Definition("v", {"t": Field("text")}))
     s.write(spark.createDataFrame([(str(i), f"word w{i} w{i % 7}") for i in range(200)], "id string, t string"))
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    plans = [told().apply(i).physicalPlanDescription() for i in range(before, told().size())]
-    writing = [p for p in plans if "/postings/" in p]
+    every = told()  # of which Spark forgets the oldest
+    plans = [every.apply(i).physicalPlanDescription() for i in range(every.size())]
+    writing = [p for p in plans if f"{tmp_path}/postings/" in p and "InsertIntoHadoopFsRelationCommand" in p]
     assert writing and not any(x in p for p in writing for x in ("Exchange", "Sort ", "Sort\n"))
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None) is None
     assert hits(s.snapshot(), [parse("w6")]).count() == 28 and s.segments()[0].length == 600
